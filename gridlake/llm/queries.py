@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, mixing, packing, quality, rules, toxicity, warc
+from . import fmindex, forest, lattice, mixing, packing, quality, rules, suffix, toxicity, warc
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,17 +31,38 @@ def op5_warc(spark, folder):
     return warc.archive_round_trip(spark, _read(spark, folder, "pages"))
 
 
+def op6_substring_dedup(spark, folder):
+    return fmindex.repeated_words(spark, _read(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark, folder):
     return rules.quality_rules(_read(spark, folder, "documents"))
 
 
+def op8_suffix_array_dedup(spark, folder):
+    return suffix.repeated_bytes(spark, _read(spark, folder, "documents"))
+
+
+def op9_minhash_near_dedup(spark, folder):
+    return forest.near_duplicates(spark, _read(spark, folder, "documents"))
+
+
 def op10_mixing(spark, folder):
     return mixing.mix(spark, _read(spark, folder, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_packing, op4_embedding_near_dedup, op5_warc, op7_quality_rules, op10_mixing)}
+    every = (
+        op1_quality_classifier, op2_toxicity, op3_packing, op4_embedding_near_dedup, op5_warc, op6_substring_dedup,
+        op7_quality_rules, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_mixing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express."""
+    return SQL
+
+
+#: Deduplication of payloads is plain SQL; the base32 digest is spelt from SHA-1 in hexadecimal.
+SQL: dict[str, str] = {}
