@@ -29,6 +29,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Prefix sums hold one number for each partition on the driver.
 MAX_PARTITIONS = 1_000_000
 
+#: Documents whose ids are held at once by a task.
+BATCH = 256
+
 _loaded: dict = {}
 
 
@@ -64,7 +67,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFram
 
     def run(batches):
         encode, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (whole.slice(lo, BATCH) for whole in batches for lo in range(0, whole.num_rows, BATCH)):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.array([*encode((text or "").encode("utf-8", "replace").decode("utf-8")), end_id], "<u4")
