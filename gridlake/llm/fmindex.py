@@ -212,7 +212,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
 
 def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated windows cut from the text; a text with none is left as it is."""
-    lists = _with_spans(spark, docs, window)
+    lists = _with_spans(spark, docs, window).withColumnRenamed("blobs", "__blobs")
     names, kind = docs.columns, docs.schema
 
     def run(batches):
@@ -220,7 +220,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
             cols = {n: b.column(n) for n in names}
             if b.num_rows:
                 out = []
-                for text, blobs in zip(b.column("text").to_pylist(), b.column("blobs").to_pylist()):
+                for text, blobs in zip(b.column("text").to_pylist(), b.column("__blobs").to_pylist()):
                     spans = union(blobs)
                     if len(spans):
                         words, kept, at = WORD_RE.findall(text or ""), [], 0

@@ -150,10 +150,10 @@ def mixture(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float
     spans = passes.groupBy("source_no", "at", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
     picked = laid.join(spans, ["source_no", "at"]).where("size > 0").select("doc_id", "h", "size", "epoch", "spans", "got").dropDuplicates(["doc_id", "h", "epoch"])
     keyed = docs.withColumn("__h", F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))))
-    joined = keyed.join(picked.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "size", "spans", "got"), "__h").where(F.col("doc_id").eqNullSafe(F.col("__d")))
+    joined = keyed.join(picked.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("size").alias("__size"), F.col("spans").alias("__spans"), F.col("got").alias("__got")), "__h").where(F.col("doc_id").eqNullSafe(F.col("__d")))
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")), 1)
-    joined = joined.withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(part))
+    part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(w, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")), 1)
+    joined = joined.withColumn("text", F.when(F.col("__got") == F.col("__size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)
