@@ -30,36 +30,44 @@ from .common import Scratch, parts
 WINDOW = 400
 ANCHOR = 64
 Q = 8
-CHUNK = 2_000_000
-SHARDS_PER_PARTITION = 8
+CHUNK = 1_000_000
+SHARDS_PER_PARTITION = 16
 
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def refine(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket number of the ``depth`` bytes at each position; positions with fewer left get -1.
+    """Bucket number of the ``depth`` bytes at each position that another position shares, else -1.
 
-    ``ends``: for each position the end of its segment. Numbers are in the order of the strings.
+    ``ends``: for each position the end of its segment. Numbers are in the order of the strings. A
+    position leaves as soon as it is alone in its bucket, or what follows it is: nothing deeper can
+    match it then.
     """
     n = len(text)
-    left = ends - np.arange(n)
+    left = (ends - np.arange(n)).astype(np.int32)
     padded = np.zeros(n + Q, np.uint64)
     padded[:n] = text
-    gram = np.zeros(n, np.uint64)
+    key = np.zeros(n, np.uint64)
     for i in range(Q):
-        gram = (gram << np.uint64(8)) | padded[i : i + n]
+        key = (key << np.uint64(8)) | padded[i : i + n]
+    del padded
     have = Q
-    at = np.flatnonzero(left >= have)
-    bucket = np.full(n, -1, np.int64)
-    bucket[at] = np.unique(gram[at], return_inverse=True)[1]
-    while have < depth:
+    at = np.flatnonzero(left >= have).astype(np.int32)
+    key = key[at]
+    bucket = np.full(n, -1, np.int32)
+    while True:
+        _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+        shared = times[number] > 1
+        bucket[:] = -1
+        at = at[shared]
+        bucket[at] = number[shared]
+        if have >= depth or not len(at):
+            return bucket
         step = min(have, depth - have)
         at = at[left[at] >= have + step]
-        pair = bucket[at] * np.int64(n + 1) + bucket[at + step]
-        bucket[:] = -1
-        bucket[at] = np.unique(pair, return_inverse=True)[1]
+        at = at[bucket[at + step] >= 0]
+        key = bucket[at] * np.int64(n + 1) + bucket[at + step]
         have += step
-    return bucket
 
 
 def _judge(window: int):
@@ -71,8 +79,6 @@ def _judge(window: int):
         seg = np.repeat(np.arange(len(s.length)), s.length)
         bucket = refine(s.symbols, end[seg], window)
         at = np.flatnonzero(bucket >= 0)
-        times = np.bincount(bucket[at])
-        at = at[times[bucket[at]] > 1]
         place = s.place[seg[at]] + at - (end - s.length)[seg[at]]
         return s.doc[seg[at]], place, place + window
 
