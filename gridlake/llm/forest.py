@@ -4,8 +4,9 @@ A document's set holds its distinct 5-word shingles (words lower-cased in A-Z; a
 shingle). Documents with equal sets are one class, stood for by its smallest doc_id. Each tree of
 the forest orders the classes by a sequence of min-hashes. Neighbours by longest common prefix are
 candidates: a region of classes with a common prefix is taken whole if it is small, else one level
-deeper, and at the last level in runs of the sorted order. In a region, pairs whose sketches agree
-enough to reach the threshold with a wide margin are linked by a spanning forest.
+deeper, and at the last level in runs of the sorted order, which goes on with the signature's other
+hashes so that the closest classes are neighbours. In a region, pairs whose sketches agree enough to
+reach the threshold with a wide margin are linked by a spanning forest.
 
 What the candidate links connect is then verified on full sets: each small candidate cluster is
 brought together once; the members of a larger one meet in their regions, tree by tree. So hot
@@ -215,8 +216,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     one = classes.select(F.col("digest").alias("d"), "rep")
     reps = usable.join(one, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["digest"])
     trees = F.arrays_zip(*[F.col(f"p{d}").alias(f"k{d}") for d in DEPTHS])
-    keys = [f"k{d}" for d in DEPTHS]
-    order = reps.select("doc_id", "sketch", F.inline(trees)).repartitionByRange(parts(spark) * 2, *keys).sortWithinPartitions(*keys, "doc_id")
+    # past the deepest prefix a tree's order goes on with the signature, from the next tree's hashes around
+    turn = (F.col("pos") + 1) * (DEPTHS[-1] // 2)
+    turned = F.concat(F.substring(F.col("sketch"), turn + 1, F.length("sketch")), F.substring(F.col("sketch"), F.lit(1), turn)).alias("sketch")
+    keys = [f"k{d}" for d in DEPTHS] + ["sketch"]
+    order = reps.select("doc_id", "sketch", F.posexplode(trees)).select("doc_id", turned, "col.*")
+    order = order.repartitionByRange(parts(spark) * 2, *keys).sortWithinPartitions(*keys, "doc_id")
     links = scratch.save(order.mapInArrow(_candidates, "a long, b long, block long"), "candidates")
 
     cluster = scratch.save(components(spark, links, scratch), "clusters")
