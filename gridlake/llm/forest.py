@@ -38,7 +38,7 @@ THRESHOLD = (85, 100)
 TREES = 16
 #: Prefix lengths at which a region is taken whole if it is small enough.
 DEPTHS = (3, 5, 8)
-REGION = 64
+REGION = 256
 CLUSTER = 256
 #: Pairs whose 4-bit sketches estimate less are not candidates: over four standard errors below 0.85.
 CANDIDATE = 0.71
@@ -131,10 +131,13 @@ def _candidates(batches):
         est = (same - 1 / 16) / (15 / 16)
         i, j = np.nonzero(est >= CANDIDATE)
         order = np.argsort(-est[i, j], kind="stable")
-        forest = Forest()
+        forest, apart = Forest(), n - 1
         for a, b in zip(ids[i[order]].tolist(), ids[j[order]].tolist()):
             if forest.join(a, b):
                 rows.append((min(a, b), max(a, b), block))
+                apart -= 1
+                if not apart:
+                    break
         if len(rows) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "block"])
             rows = []
