@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD_RE, Forest, Scratch, WordHashes, components, groups, mix64, parts, window_hash
+from .common import Forest, Scratch, WordHashes, components, groups, mix64, parts, window_hash
 
 SHINGLE = 5
 THRESHOLD = (85, 100)
@@ -43,27 +43,27 @@ CLUSTER = 256
 #: Pairs whose 4-bit sketches estimate less are not candidates: over four standard errors below 0.85.
 CANDIDATE = 0.71
 
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, TREES * DEPTHS[-1], dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(7).integers(0, 2**32, TREES * DEPTHS[-1], dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the document's set."""
-    h = hashes.of(WORD_RE.findall((text or "").translate(ASCII_LOWER)))
+    # on bytes, lower() changes A-Z alone and split() cuts at ASCII white space alone
+    h = hashes.of((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not len(h):
         return h
     return np.unique(window_hash(h, min(SHINGLE, len(h))) ^ np.uint64(min(SHINGLE, len(h))))
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
-    out = np.full(len(_SEEDS), 2**64 - 1, np.uint64)
-    for lo in range(0, len(s), 4096):
-        x = s[lo : lo + 4096]
-        for i, seed in enumerate(_SEEDS):
-            y = (x ^ seed) * np.uint64(0x9E3779B97F4A7C15)
-            y ^= y >> np.uint64(31)
-            y *= seed
-            out[i] = min(out[i], y.min())
-    return out
+    """Minima of the set under odd multipliers; half of them read a hash's upper 32 bits, half its lower."""
+    out = np.full(len(_SEEDS), 2**32 - 1, np.uint32)
+    half = len(_SEEDS) // 2
+    for lo in range(0, len(s), 512):
+        x = s[lo : lo + 512]
+        for at, bits in ((slice(half), x >> np.uint64(32)), (slice(half, None), x)):
+            np.minimum(out[at], (_SEEDS[at, None] * bits.astype(np.uint32)).min(1), out=out[at])
+    return out.astype(np.uint64)
 
 
 def _sketch(batches):
