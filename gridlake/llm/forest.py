@@ -10,8 +10,14 @@ reach the threshold with a wide margin are linked by a spanning forest.
 
 What the candidate links connect is then verified on full sets: each small candidate cluster is
 brought together once; the members of a larger one meet in their regions, tree by tree. So hot
-groups are split into bounded blocks, no block emits all its pairs, and rows grow in proportion to
-the documents. Sorted orders are range-partitioned, so a hot region spreads over tasks.
+groups are split into bounded blocks and no block emits all its pairs. Sorted orders are
+range-partitioned, so a hot region spreads over tasks.
+
+Classes of a region that was not taken whole (too large, or at the edge of a task) have not all met.
+They get an exact join: sets that reach the threshold share one of their rarest shingles, as many
+as the threshold lets a set lack, plus one. Those that share such a shingle and are not yet connected
+meet in blocks of at most two squares of about SQUARE sets. Rows of this join grow with the square
+of such a group only as far as its members are unconnected, divided by SQUARE.
 
 Null or empty text, or white space only, has an empty set: ``n_shingles`` 0, linked with nothing.
 Repeated rows are the same document. Rows that share a doc_id but not the text are the same vertex
@@ -40,6 +46,10 @@ TREES = 16
 DEPTHS = (3, 5, 8)
 REGION = 256
 CLUSTER = 256
+#: Sets on each side of a block of the exact join.
+SQUARE = 256
+#: Shingles are counted in 2**COUNTERS cells to tell the rare ones; a shared cell costs time only.
+COUNTERS = 18
 #: Pairs whose 4-bit sketches estimate less are not candidates: over four standard errors below 0.85.
 CANDIDATE = 0.71
 
@@ -92,7 +102,7 @@ def _sketch(batches):
 
 
 def _regions(batches):
-    """Blocks of the sorted order as (first row, rows): yields (ids, sketches, block key)."""
+    """Blocks of the sorted order: yields (ids, sketches, block key), and (ids, None, 0) for regions not taken whole."""
     names = [f"k{d}" for d in DEPTHS]
 
     def cut(keys: list[np.ndarray], lo: int, hi: int, level: int):
@@ -107,7 +117,14 @@ def _regions(batches):
             for a in range(lo, hi, REGION):
                 yield a, min(hi, a + REGION)
 
-    for key, t in groups(batches, names[0]):
+    found = groups(batches, names[0])
+    region, first = next(found, None), True
+    while region:
+        (key, t), region = region, next(found, None)
+        # the first and last region of a task may go on in another one
+        if first or not region or t.num_rows > REGION:
+            yield t.column("doc_id").to_numpy(), None, 0
+        first = False
         if t.num_rows < 2:
             continue
         keys = [t.column(c).to_numpy() for c in names]
@@ -121,9 +138,14 @@ def _regions(batches):
 
 
 def _candidates(batches):
-    """A spanning forest of each block's likely links: (a, b, block)."""
+    """A spanning forest of each block's likely links: (a, b, block); (a, a, 0) for classes that have not met all of their region."""
     rows: list[tuple] = []
     for ids, raw, block in _regions(batches):
+        if raw is None:
+            for lo in range(0, len(ids), 20_000):
+                part = pa.array(ids[lo : lo + 20_000], pa.int64())
+                yield pa.RecordBatch.from_arrays([part, part, pa.array(np.zeros(len(part), np.int64))], ["a", "b", "block"])
+            continue
         n = len(ids)
         same = np.zeros((n, n))
         for i in range(n - 1):
@@ -208,6 +230,83 @@ def _verify(num: int, den: int):
     return run
 
 
+def _whole_sets(batches):
+    hashes = WordHashes()
+    for b in batches:
+        docs, sets, held = [], [], 0
+        for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            docs.append(d)
+            sets.append(shingles(text, hashes).tobytes())
+            held += len(sets[-1])
+            if held > 32_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "s"])
+                docs, sets, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "s"])
+
+
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _count(batches):
+    """How often the shingles of each cell were met in this task."""
+    total = np.zeros(1 << COUNTERS, np.int64)
+    for b in batches:
+        for s in b.column("s").to_pylist():
+            np.add.at(total, _cells(np.frombuffer(s, np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+
+def _rarest(times: np.ndarray, num: int, den: int):
+    """The rarest shingles of each set, of which sets that reach the threshold share one."""
+
+    def run(batches):
+        for b in batches:
+            ids, of, out = [], [], []
+            for d, c, raw in zip(b.column("doc_id").to_pylist(), b.column("component").to_pylist(), b.column("s").to_pylist()):
+                s = np.frombuffer(raw, np.uint64)
+                if len(s):
+                    # links have at least ceil(num * n / den) shingles in common
+                    rare = s[np.lexsort((s, times[_cells(s)]))[: len(s) + num * len(s) // -den + 1]]
+                    ids.append(np.full(len(rare), d, np.int64))
+                    of.append(np.full(len(rare), c, np.int64))
+                    out.append(rare.view(np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, ids, of)], ["shingle", "id", "component"])
+
+    return run
+
+
+def _exact_links(spark: SparkSession, scratch: Scratch, docs: DataFrame, unmet: DataFrame, verified: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links that connect classes of ``unmet`` (id) which ``verified`` leaves apart, by an exact join."""
+    of = components(spark, verified, scratch).withColumnRenamed("id", "doc_id")
+    sets = docs.join(unmet.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(_whole_sets, "doc_id long, s binary").distinct()
+    sets = sets.join(of, "doc_id", "left").select("doc_id", "s", F.coalesce("component", "doc_id").alias("component"))
+    sets = scratch.save(sets, "unmet")
+    times = np.zeros(1 << COUNTERS, np.int64)
+    for r in sets.select("s").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        times[r.cell] = r.n
+    rare = scratch.save(sets.mapInArrow(_rarest(times, *threshold), "shingle long, id long, component long").distinct(), "rare")
+    # under each shingle its largest component is cut into squares, and the other sets into others
+    held = rare.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle")
+    held = held.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    squares = lambda n: F.ceil(n / SQUARE).cast("long")
+    held = held.select("shingle", F.col("most.component").alias("main"), squares(F.col("most.n")).alias("mains"), squares(F.col("n") - F.col("most.n")).alias("rest"))
+    at = rare.join(held, "shingle").withColumn("is_main", F.col("component") == F.col("main"))
+    at = at.withColumn("square", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rest"))))
+    at = at.withColumn("square", F.when(F.col("is_main"), F.col("rest") + F.col("square")).otherwise(F.col("square")))
+    # squares of the largest component meet those of the rest alone, which meet all
+    others = F.sequence(F.lit(0).cast("long"), F.col("rest") + F.when(F.col("is_main"), F.lit(0)).otherwise(F.col("mains")) - 1)
+    at = at.select("id", "component", "shingle", "square", F.explode(others).alias("other")).where("square <> other")
+    at = at.select("id", "component", F.xxhash64("shingle", F.least("square", "other"), F.greatest("square", "other")).alias("block"))
+    blocks = at.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("block")
+    wanted = at.join(blocks, "block").groupBy("id").agg(F.collect_set("block").alias("blocks"))
+    met = sets.join(wanted, F.col("doc_id") == F.col("id")).select(F.explode("blocks").alias("block"), "doc_id", "s")
+    met = met.repartition(parts(spark) * 2, "block").sortWithinPartitions("block")
+    return scratch.save(met.mapInArrow(_verify(*threshold), "a long, b long"), "exact")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     scratch = Scratch(spark, "forest")
@@ -225,7 +324,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     keys = [f"k{d}" for d in DEPTHS] + ["sketch"]
     order = reps.select("doc_id", "sketch", F.posexplode(trees)).select("doc_id", turned, "col.*")
     order = order.repartitionByRange(parts(spark) * 2, *keys).sortWithinPartitions(*keys, "doc_id")
-    links = scratch.save(order.mapInArrow(_candidates, "a long, b long, block long"), "candidates")
+    found = scratch.save(order.mapInArrow(_candidates, "a long, b long, block long"), "candidates")
+    links, unmet = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("id")).distinct()
 
     cluster = scratch.save(components(spark, links, scratch), "clusters")
     size = cluster.groupBy("component").agg(F.count("*").alias("members"))
@@ -241,7 +341,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     met = sets.repartition(parts(spark) * 2, "block").sortWithinPartitions("block")
     verified = scratch.save(met.mapInArrow(_verify(*threshold), "a long, b long"), "links")
 
-    of = components(spark, verified, scratch).select(F.col("id").alias("rep"), "component")
+    exact = _exact_links(spark, scratch, docs, unmet, verified, threshold)
+    of = components(spark, verified.unionByName(exact), scratch).select(F.col("id").alias("rep"), "component")
     of = classes.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n", "digest").join(of, "digest", "left")
     return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "doc_id")).alias("component_id")).withColumn(

@@ -111,6 +111,46 @@ def test_forest(spark, docs, none, corpus):
     assert sorted(r.doc_id for r in forest.keep_first(spark, docs.union(docs)).collect()) == sorted(i for i in sets if root(i) == i)
 
 
+def test_forest_hot_group(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(324)]
+
+    def edited(words, edits, name):
+        words = list(words)
+        for k in rng.sample(range(len(words)), edits):
+            words[k] = f"{name}x{k}"
+        return words
+
+    words = []
+    for k in range(1200):  # variants at 0.78 or so of one another, each with a partner at 0.85 or so
+        words.append(edited(base, 4, f"a{k}"))
+        words.append(edited(words[-1], rng.choice([4, 5]), f"b{k}"))
+    number = collections.defaultdict(lambda: len(number))
+    sets = [np.unique([number[tuple(w[k : k + 5])] for k in range(320)]) for w in words]
+    size = np.array([len(s) for s in sets])
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(number), 8192):
+        m = np.zeros((len(sets), 8192), np.float32)
+        for row, s in zip(m, sets):
+            row[s[(s >= lo) & (s < lo + 8192)] - lo] = 1
+        common += m @ m.T
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in zip(*np.nonzero(np.triu(100 * common >= 85 * (size[:, None] + size[None] - common), 1))):
+        x, y = sorted((root(int(a)), root(int(b))))
+        up[y] = x
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(spark, table).collect()}
+    want = {i: root(i) for i in range(len(words))}
+    assert sum(i != r for i, r in want.items()) > 500
+    assert {i: (got[i], r) for i, r in want.items() if got[i] != r} == {}
+
+
 def test_lattice(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 16))
