@@ -25,12 +25,15 @@ Repeated rows are the same document. Rows that share a doc_id but not the text a
 whole; one text's set must fit in memory. Extra columns are ignored.
 
 Chance of a miss: a pair at Jaccard 0.85 shares a tree's first 3 levels with probability 0.61, so
-16 trees miss it in a small region with probability 3e-7.
+16 trees miss it with probability 3e-7. The trees, the shallowest level and the sketches' cut follow
+from the threshold, so that a pair at 0.80 is missed no oftener (21 trees).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +44,46 @@ from .common import Forest, Scratch, WordHashes, components, groups, mix64, part
 
 SHINGLE = 5
 THRESHOLD = (85, 100)
-TREES = 16
-#: Prefix lengths at which a region is taken whole if it is small enough.
-DEPTHS = (3, 5, 8)
+#: Prefix lengths at which a region is taken whole if it is small enough; the first is the longest of
+#: these that needs no more trees than MOST.
+SHALLOW, DEEPER, MOST = (3, 2, 1), (5, 8), 24
+#: The chance that a pair at the threshold shares the first prefix in no tree.
+MISS = 3e-7
 REGION = 256
 CLUSTER = 256
 #: Sets on each side of a block of the exact join.
 SQUARE = 256
 #: Shingles are counted in 2**COUNTERS cells to tell the rare ones; a shared cell costs time only.
 COUNTERS = 18
-#: Pairs whose 4-bit sketches estimate less are not candidates: over four standard errors below 0.85.
-CANDIDATE = 0.71
+#: The chance that the 4-bit sketches of a pair at the threshold agree too little to make it a candidate.
+SKETCH_MISS = 6e-5
 
-_SEEDS = np.random.default_rng(7).integers(0, 2**32, TREES * DEPTHS[-1], dtype=np.uint32) | np.uint32(1)
+
+class Plan(NamedTuple):
+    trees: int
+    depths: tuple[int, ...]
+    cut: int  # pairs whose sketches agree in fewer places are not candidates
+
+
+def plan(num: int, den: int) -> Plan:
+    """What finds the pairs at Jaccard num / den with the chances of a miss above."""
+    if not 0 < num <= den:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    j = num / den
+    for first in SHALLOW:
+        trees = 1 if num == den else math.ceil(math.log(MISS) / math.log1p(-(j**first)))
+        if trees <= MOST:
+            break
+    n, p = trees * DEEPER[-1], (1 + 15 * j) / 16
+    cut, below = 0, (1 - p) ** n  # below: the chance of at most ``cut`` agreements
+    while below <= SKETCH_MISS and cut < n:
+        cut += 1
+        below += math.comb(n, cut) * p**cut * (1 - p) ** (n - cut)
+    return Plan(trees, (first, *DEEPER), cut)
+
+
+def _seeds(n: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -65,45 +95,48 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(window_hash(h, min(SHINGLE, len(h))) ^ np.uint64(min(SHINGLE, len(h))))
 
 
-def minhash(s: np.ndarray) -> np.ndarray:
+def minhash(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Minima of the set under odd multipliers; half of them read a hash's upper 32 bits, half its lower."""
-    out = np.full(len(_SEEDS), 2**32 - 1, np.uint32)
-    half = len(_SEEDS) // 2
+    out = np.full(len(seeds), 2**32 - 1, np.uint32)
+    half = len(seeds) // 2
     for lo in range(0, len(s), 512):
         x = s[lo : lo + 512]
         for at, bits in ((slice(half), x >> np.uint64(32)), (slice(half, None), x)):
-            np.minimum(out[at], (_SEEDS[at, None] * bits.astype(np.uint32)).min(1), out=out[at])
+            np.minimum(out[at], (seeds[at, None] * bits.astype(np.uint32)).min(1), out=out[at])
     return out.astype(np.uint64)
 
 
-def _sketch(batches):
-    hashes, trees, deepest = WordHashes(), np.arange(TREES), DEPTHS[-1]
-    for b in batches:
-        cols: list[list] = [[] for _ in range(4 + len(DEPTHS))]
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            s = shingles(text, hashes)
-            row = [doc, len(s), None, None] + [None] * len(DEPTHS)
-            if len(s):
-                m = mix64(minhash(s)).reshape(TREES, deepest)
-                nibble = (m.reshape(-1) & np.uint64(15)).astype(np.uint8)
-                row[2] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                row[3] = (nibble[0::2] | (nibble[1::2] << 4)).tobytes()
-                h = trees.astype(np.uint64)
-                at = 0
-                for k, d in enumerate(DEPTHS):
-                    for i in range(at, d):
-                        h = mix64(h ^ m[:, i]) + np.uint64(d)
-                    at = d
-                    row[4 + k] = h.view(np.int64).tolist()
-            for c, v in zip(cols, row):
-                c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()] + [pa.list_(pa.int64())] * len(DEPTHS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "digest", "sketch", *[f"p{d}" for d in DEPTHS]])
-
-
-def _regions(batches):
+def _sketch(plan: Plan):
+    def run(batches):
+        hashes, seeds = WordHashes(), _seeds(plan.trees * plan.depths[-1])
+        for b in batches:
+            cols: list[list] = [[] for _ in range(4 + len(plan.depths))]
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                s = shingles(text, hashes)
+                row = [doc, len(s), None, None] + [None] * len(plan.depths)
+                if len(s):
+                    m = mix64(minhash(s, seeds)).reshape(plan.trees, plan.depths[-1])
+                    nibble = (m.reshape(-1) & np.uint64(15)).astype(np.uint8)
+                    row[2] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    row[3] = (nibble[0::2] | (nibble[1::2] << 4)).tobytes()
+                    h = np.arange(plan.trees, dtype=np.uint64)
+                    at = 0
+                    for k, d in enumerate(plan.depths):
+                        for i in range(at, d):
+                            h = mix64(h ^ m[:, i]) + np.uint64(d)
+                        at = d
+                        row[4 + k] = h.view(np.int64).tolist()
+                for c, v in zip(cols, row):
+                    c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()] + [pa.list_(pa.int64())] * len(plan.depths)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "digest", "sketch", *[f"p{d}" for d in plan.depths]])
+
+    return run
+
+
+def _regions(batches, depths: tuple[int, ...]):
     """Blocks of the sorted order: yields (ids, sketches, block key), and (ids, None, 0) for regions not taken whole."""
-    names = [f"k{d}" for d in DEPTHS]
+    names = [f"k{d}" for d in depths]
 
     def cut(keys: list[np.ndarray], lo: int, hi: int, level: int):
         if hi - lo <= REGION:
@@ -137,34 +170,37 @@ def _regions(batches):
                 yield ids[lo:hi], raw[lo:hi], int(block.view(np.int64)[0])
 
 
-def _candidates(batches):
+def _candidates(plan: Plan):
     """A spanning forest of each block's likely links: (a, b, block); (a, a, 0) for classes that have not met all of their region."""
-    rows: list[tuple] = []
-    for ids, raw, block in _regions(batches):
-        if raw is None:
-            for lo in range(0, len(ids), 20_000):
-                part = pa.array(ids[lo : lo + 20_000], pa.int64())
-                yield pa.RecordBatch.from_arrays([part, part, pa.array(np.zeros(len(part), np.int64))], ["a", "b", "block"])
-            continue
-        n = len(ids)
-        same = np.zeros((n, n))
-        for i in range(n - 1):
-            same[i, i + 1 :] = (raw[i] == raw[i + 1 :]).mean(1)
-        est = (same - 1 / 16) / (15 / 16)
-        i, j = np.nonzero(est >= CANDIDATE)
-        order = np.argsort(-est[i, j], kind="stable")
-        forest, apart = Forest(), n - 1
-        for a, b in zip(ids[i[order]].tolist(), ids[j[order]].tolist()):
-            if forest.join(a, b):
-                rows.append((min(a, b), max(a, b), block))
-                apart -= 1
-                if not apart:
-                    break
-        if len(rows) > 20_000:
+
+    def run(batches):
+        rows: list[tuple] = []
+        for ids, raw, block in _regions(batches, plan.depths):
+            if raw is None:
+                for lo in range(0, len(ids), 20_000):
+                    part = pa.array(ids[lo : lo + 20_000], pa.int64())
+                    yield pa.RecordBatch.from_arrays([part, part, pa.array(np.zeros(len(part), np.int64))], ["a", "b", "block"])
+                continue
+            n = len(ids)
+            same = np.zeros((n, n))
+            for i in range(n - 1):
+                same[i, i + 1 :] = (raw[i] == raw[i + 1 :]).sum(1)
+            i, j = np.nonzero(np.triu(same >= plan.cut, 1))
+            order = np.argsort(-same[i, j], kind="stable")
+            forest, apart = Forest(), n - 1
+            for a, b in zip(ids[i[order]].tolist(), ids[j[order]].tolist()):
+                if forest.join(a, b):
+                    rows.append((min(a, b), max(a, b), block))
+                    apart -= 1
+                    if not apart:
+                        break
+            if len(rows) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "block"])
+                rows = []
+        if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "block"])
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "block"])
+
+    return run
 
 
 def _sets(batches):
@@ -309,22 +345,23 @@ def _exact_links(spark: SparkSession, scratch: Scratch, docs: DataFrame, unmet:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    scratch = Scratch(spark, "forest")
+    scratch, how = Scratch(spark, "forest"), plan(*threshold)
+    depths = how.depths
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "doc_id long, n long, digest binary, sketch binary, " + ", ".join(f"p{d} array<long>" for d in DEPTHS)
-    sketches = scratch.save(docs.mapInArrow(_sketch, kinds), "sketches")
+    kinds = "doc_id long, n long, digest binary, sketch binary, " + ", ".join(f"p{d} array<long>" for d in depths)
+    sketches = scratch.save(docs.mapInArrow(_sketch(how), kinds), "sketches")
     usable = sketches.where("n > 0 and doc_id is not null")
     classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     one = classes.select(F.col("digest").alias("d"), "rep")
     reps = usable.join(one, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["digest"])
-    trees = F.arrays_zip(*[F.col(f"p{d}").alias(f"k{d}") for d in DEPTHS])
+    trees = F.arrays_zip(*[F.col(f"p{d}").alias(f"k{d}") for d in depths])
     # past the deepest prefix a tree's order goes on with the signature, from the next tree's hashes around
-    turn = (F.col("pos") + 1) * (DEPTHS[-1] // 2)
+    turn = (F.col("pos") + 1) * (depths[-1] // 2)
     turned = F.concat(F.substring(F.col("sketch"), turn + 1, F.length("sketch")), F.substring(F.col("sketch"), F.lit(1), turn)).alias("sketch")
-    keys = [f"k{d}" for d in DEPTHS] + ["sketch"]
+    keys = [f"k{d}" for d in depths] + ["sketch"]
     order = reps.select("doc_id", "sketch", F.posexplode(trees)).select("doc_id", turned, "col.*")
     order = order.repartitionByRange(parts(spark) * 2, *keys).sortWithinPartitions(*keys, "doc_id")
-    found = scratch.save(order.mapInArrow(_candidates, "a long, b long, block long"), "candidates")
+    found = scratch.save(order.mapInArrow(_candidates(how), "a long, b long, block long"), "candidates")
     links, unmet = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("id")).distinct()
 
     cluster = scratch.save(components(spark, links, scratch), "clusters")
