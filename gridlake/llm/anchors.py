@@ -7,7 +7,8 @@ shard can be searched alone. A window belongs to exactly one segment.
 
 Segments of one task that are equal throughout are sent once (the earliest by document and place);
 the others are told apart by a flag or settled on the spot, so a passage copied into a third of all
-documents is sent once by each task. Long sequences are worked off in pieces that overlap by W - 1,
+documents is sent once by each task. Of first segments alone (``first_only``), one met again in the
+same document at the same place is that segment, a repeated row's, and doesn't repeat it. Long sequences are worked off in pieces that overlap by W - 1,
 which changes no window.
 """
 
@@ -134,7 +135,9 @@ class Sender:
         again[1:] = key[order[1:]] == key[order[:-1]]
         twice = again.copy()
         twice[:-1] |= again[1:]
-        settled, flag = order[again], np.zeros(len(order), bool)
+        same = np.zeros(len(order), bool)
+        same[1:] = again[1:] & (doc[order[1:]] == doc[order[:-1]]) & (place[order[1:]] == place[order[:-1]])
+        settled, flag = order[again & ~same], np.zeros(len(order), bool)
         flag[order[twice]] = True
         send = np.sort(order[~again])
         span = settled if self.first_only else np.flatnonzero(flag)
