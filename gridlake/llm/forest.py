@@ -21,7 +21,9 @@ of such a group only as far as its members are unconnected, divided by SQUARE.
 
 Null or empty text, or white space only, has an empty set: ``n_shingles`` 0, linked with nothing.
 Repeated rows are the same document. Rows that share a doc_id but not the text are the same vertex
-(the largest set's size is reported). An empty table gives an empty result. Very long texts are read
+(the largest set's size is reported); they stay or go together. Rows with a null doc_id can't be told
+apart by it: ``near_duplicates`` gives one row for them, linked with nothing, and ``keep_first`` keeps
+them all. An empty table gives an empty result. Very long texts are read
 whole; one text's set must fit in memory. Extra columns are ignored.
 
 Chance of a miss: a pair at Jaccard 0.85 shares a tree's first 3 levels with probability 0.61, so
@@ -252,10 +254,10 @@ def _verify(num: int, den: int):
     def run(batches):
         out: list[tuple[int, int]] = []
         for _, t in groups(batches, "block"):
-            seen = dict(zip(t.column("doc_id").to_pylist(), t.column("s").to_pylist()))
-            ids = sorted(seen)
-            if len(ids) > 1:
-                forest = _linked(ids, [np.frombuffer(seen[i], np.uint64) for i in ids], num, den)
+            # a doc_id has several sets if its rows' texts differ
+            seen = sorted(set(zip(t.column("doc_id").to_pylist(), t.column("s").to_pylist())))
+            if len(seen) > 1:
+                forest = _linked([i for i, _ in seen], [np.frombuffer(s, np.uint64) for _, s in seen], num, den)
                 out += [(x, forest.root(x)) for x in forest.up if forest.root(x) != x]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
@@ -381,13 +383,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     exact = _exact_links(spark, scratch, docs, unmet, verified, threshold)
     of = components(spark, verified.unionByName(exact), scratch).select(F.col("id").alias("rep"), "component")
     of = classes.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc_id", "n", "digest").join(of, "digest", "left")
+    named = F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")
+    out = sketches.select("doc_id", "n", named).join(of, "digest", "left")
     return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "doc_id")).alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
+def _set_digest(text: str | None) -> bytes:
+    return hashlib.blake2b(shingles(text, WordHashes()).tobytes(), digest_size=16).digest()
+
+
 def keep_first(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stand for their group (the smallest doc_id), with their columns."""
+    """The rows of ``docs`` that stand for their group (the smallest doc_id), with their columns.
+
+    Of rows with one doc_id and equal sets, one with the least text stays; rows of one doc_id whose
+    sets differ all stay, and so do all rows with a null doc_id.
+    """
     dups = near_duplicates(spark, docs, threshold).where("not kept").select(F.col("doc_id").alias("__dup"))
-    return docs.join(dups, docs["doc_id"] == dups["__dup"], "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(dups, docs["doc_id"] == dups["__dup"], "left_anti")
+    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__many"))
+    once = kept.join(many, kept["doc_id"] == many["__many"], "left_anti")
+    again = kept.join(many, kept["doc_id"] == many["__many"], "left_semi")
+    row = F.struct(*docs.columns).alias("row")
+    again = again.select(row, F.udf(_set_digest, "binary")("text").alias("digest")).groupBy("row.doc_id", "digest")
+    again = again.agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return once.unionByName(again.select("row.*"))

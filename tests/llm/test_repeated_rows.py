@@ -1,6 +1,6 @@
 """Rows that share a doc_id: repeated ones don't depend on where they are read."""
 
-from gridlake.llm import fmindex
+from gridlake.llm import fmindex, forest
 
 
 def test_fm_index_repeated_rows(spark):
@@ -14,3 +14,15 @@ def test_fm_index_repeated_rows(spark):
         twice = docs.union(docs).repartition(k)
         assert sorted(fmindex.repeated_words(spark, twice).collect()) == sorted(want * 2)
         assert sorted(fmindex.without_repeats(spark, twice).collect()) == sorted(texts * 2)
+
+
+def test_keep_first_null_and_shared_ids(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, None), (None, text("c"))]
+    rows += [(1, text("c")), (2, text("d")), (2, text("e")), (2, text("E")), (2, text("d")), (3, text("e") + " f"), (4, text("g")), (5, text("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(forest.keep_first(spark, docs).collect(), key=str)
+    want = [*rows[:6], (2, text("d")), (2, text("E")), (4, text("g"))]
+    assert [tuple(r) for r in got] == [tuple(r) for r in sorted(spark.createDataFrame(want, docs.schema).collect(), key=str)]
+    found = {r.doc_id: (r.component_id, r.kept) for r in forest.near_duplicates(spark, docs).collect()}
+    assert found == {None: (None, True), 1: (1, True), 2: (2, True), 3: (2, False), 4: (4, True), 5: (2, False)}
