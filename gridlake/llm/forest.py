@@ -27,7 +27,8 @@ them all. An empty table gives an empty result. Very long texts are read
 whole; one text's set must fit in memory. Extra columns are ignored.
 
 Chance of a miss: a pair at Jaccard 0.85 shares a tree's first 3 levels with probability 0.61, so
-16 trees miss it with probability 3e-7. The trees, the shallowest level and the sketches' cut follow
+16 trees miss it with probability 3e-7. The one sketch, which all trees share, hides it with probability
+1e-9 more. Both hold for independent min-hashes. The trees, the shallowest level and the sketches' cut follow
 from the threshold, so that a pair at 0.80 is missed no oftener (21 trees).
 """
 
@@ -58,7 +59,7 @@ SQUARE = 256
 #: Shingles are counted in 2**COUNTERS cells to tell the rare ones; a shared cell costs time only.
 COUNTERS = 18
 #: The chance that the 4-bit sketches of a pair at the threshold agree too little to make it a candidate.
-SKETCH_MISS = 6e-5
+SKETCH_MISS = 1e-9
 
 
 class Plan(NamedTuple):

@@ -1,5 +1,6 @@
 """The pipeline's stages on small fixtures."""
 
+import math
 import random
 
 import corpus_pipeline
@@ -29,3 +30,10 @@ def test_plan_follows_threshold():
         assert (1 - (j / 100) ** how.depths[0]) ** how.trees <= forest.MISS
     assert forest.plan(85, 100).trees == 16 and forest.plan(80, 100).trees == 21
     assert forest.plan(80, 100).cut / 168 < forest.plan(85, 100).cut / 128
+
+
+def test_sketch_cut_misses_less_than_the_trees():
+    for j in (80, 85):
+        how = forest.plan(j, 100)
+        n, p = how.trees * how.depths[-1], (1 + 15 * j / 100) / 16
+        assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(how.cut)) < 3e-9
