@@ -328,8 +328,11 @@ def _exact_links(spark: SparkSession, scratch: Scratch, docs: DataFrame, unmet:
         times[r.cell] = r.n
     rare = scratch.save(sets.mapInArrow(_rarest(times, *threshold), "shingle long, id long, component long").distinct(), "rare")
     # under each shingle its largest component is cut into squares, and the other sets into others
-    held = rare.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle")
-    held = held.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    ids = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"ids{k}") for k in (0, 1)]
+    held = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"), *ids).groupBy("shingle")
+    held = held.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.bit_xor("ids0").alias("ids0"), F.bit_xor("ids1").alias("ids1")).where("n > most.n")
+    # shingles of one passage are often held by the same sets, which need to meet under one of them alone
+    held = held.groupBy("most", "n", "ids0", "ids1").agg(F.min("shingle").alias("shingle"))
     squares = lambda n: F.ceil(n / SQUARE).cast("long")
     held = held.select("shingle", F.col("most.component").alias("main"), squares(F.col("most.n")).alias("mains"), squares(F.col("n") - F.col("most.n")).alias("rest"))
     at = rare.join(held, "shingle").withColumn("is_main", F.col("component") == F.col("main"))
