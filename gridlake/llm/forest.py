@@ -317,10 +317,10 @@ def _rarest(times: np.ndarray, num: int, den: int):
     return run
 
 
-def _exact_links(spark: SparkSession, scratch: Scratch, docs: DataFrame, unmet: DataFrame, verified: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links that connect classes of ``unmet`` (id) which ``verified`` leaves apart, by an exact join."""
+def _exact_links(spark: SparkSession, scratch: Scratch, unmet: DataFrame, verified: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links that connect classes of ``unmet`` (doc_id, text) which ``verified`` leaves apart, by an exact join."""
     of = components(spark, verified, scratch).withColumnRenamed("id", "doc_id")
-    sets = docs.join(unmet.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(_whole_sets, "doc_id long, s binary").distinct()
+    sets = unmet.mapInArrow(_whole_sets, "doc_id long, s binary").distinct()
     sets = sets.join(of, "doc_id", "left").select("doc_id", "s", F.coalesce("component", "doc_id").alias("component"))
     sets = scratch.save(sets, "unmet")
     times = np.zeros(1 << COUNTERS, np.int64)
@@ -379,12 +379,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     # a cluster's number and a region's hash are kept apart by their sign
     blocks = whole.select("id", F.col("block")).unionByName(split.select("id", (F.abs(F.col("block")) * -1 - 1).alias("block")))
     wanted = blocks.groupBy("id").agg(F.collect_list("block").alias("blocks"))
-    texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = texts.mapInArrow(_sets, "block long, doc_id long, s binary")
+    wanted = wanted.join(unmet.withColumn("unmet", F.lit(True)), "id", "full")
+    # the texts are read and joined once, for the blocks and for the exact join
+    texts = scratch.save(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id"), "texts")
+    sets = texts.where("blocks is not null").select("doc_id", "text", "blocks").mapInArrow(_sets, "block long, doc_id long, s binary")
     met = sets.repartition(parts(spark) * 2, "block").sortWithinPartitions("block")
     verified = scratch.save(met.mapInArrow(_verify(*threshold), "a long, b long"), "links")
 
-    exact = _exact_links(spark, scratch, docs, unmet, verified, threshold)
+    exact = _exact_links(spark, scratch, texts.where("unmet").select("doc_id", "text"), verified, threshold)
     of = components(spark, verified.unionByName(exact), scratch).select(F.col("id").alias("rep"), "component")
     of = classes.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")
