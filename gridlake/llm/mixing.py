@@ -7,12 +7,15 @@ rank r takes block r of that source, starting over after the last. A document's
 taken blocks cover of it.
 
 Every prefix sum runs over hash buckets of bounded size and then over the buckets' totals, so a
-source with a third of all rows is never in one task. The driver holds one row for each source.
+source with a third of all rows is never in one task. The driver holds one row for each source, of
+which there may be MAX_SOURCES with names of MAX_NAME_BYTES in all; what is broadcast is in
+proportion to these rows.
 
 Sources are ordered by code point with null last. Null text has 0 words; such a document, like any
-without words, is taken 0 times. Repeated rows are separate documents. An empty table gives an
-empty result; if no document has words all targets are 0. Extra columns are ignored by ``mix`` and
-kept by ``mixture``.
+without words, is taken 0 times. Repeated rows, and rows that share a doc_id or have none, are
+separate documents; ``mixture`` gives each row its own share. An empty table gives an empty result;
+if no document has words all targets are 0. Extra columns are ignored by ``mix`` and kept by
+``mixture``.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 BLOCKS_PER_SOURCE = 512
 MAX_BLOCK = 2048
 #: Rows of one prefix-sum bucket and slots of one schedule chunk, on average.
-BUCKET_ROWS = 4096
-MAX_SOURCES = 1_000_000
+BUCKET_ROWS = 1024
+MAX_SOURCES = 100_000
+MAX_NAME_BYTES = 64_000_000
+#: A number for each row of ``mixture``'s input, under a name that no column has.
+ROW = "__mixture_row"
 
 
 def n_words(text: Column) -> Column:
@@ -58,11 +64,13 @@ def targets(sizes: dict, weights: dict, total: float, most: float = MOST_EPOCHS)
     return out | {s: 0.0 for s in sizes if s not in out}
 
 
-def _plan(spark: SparkSession, docs: DataFrame, weights, share: float) -> DataFrame:
+def _plan(spark: SparkSession, docs: DataFrame, weights, share: float, scratch: Scratch) -> DataFrame:
     """source_no, source, source_size, target, block (words), n_blocks: one row for each source."""
-    got = docs.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sources = scratch.save(docs.groupBy("source").agg(F.sum("size").alias("n")), "sources")
+    many, names = sources.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    if many > MAX_SOURCES or names > MAX_NAME_BYTES:
+        raise ValueError(f"more than {MAX_SOURCES} sources, or names of more than {MAX_NAME_BYTES} bytes")
+    got = sources.collect()
     got.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = {i: int(r.n) for i, r in enumerate(got)}
     want = targets(sizes, {i: weights[i % len(weights)] for i in sizes}, share * sum(sizes.values()))
@@ -109,19 +117,19 @@ def _laid_out(spark: SparkSession, docs: DataFrame, plan: DataFrame, scratch: Sc
     rows = docs.join(F.broadcast(plan), docs["source"].eqNullSafe(plan["source"])).drop(docs["source"]).drop(plan["source"])
     buckets = max(1, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
-    order = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size", *([ROW] if ROW in rows.columns else []))
     local = rows.withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     totals = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     base = totals.withColumn("base", F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")).drop("n")
     return local.join(base, ["source_no", "bucket"]).withColumn("at", F.col("at") + F.col("base")).drop("base", "bucket")
 
 
-def _spans(spark: SparkSession, docs: DataFrame, weights, share: float) -> tuple[DataFrame, DataFrame]:
+def _spans(spark: SparkSession, docs: DataFrame, weights, share: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(documents laid out, (doc key, lo, hi, times) of the blocks that each document meets)."""
-    scratch = Scratch(spark, "mixing")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("h"))
+    row = [ROW] if ROW in docs.columns else []
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("h"), *row)
     sized = scratch.save(sized, "sizes")
-    plan = scratch.save(_plan(spark, sized, weights, share), "plan")
+    plan = scratch.save(_plan(spark, sized, weights, share, scratch), "plan")
     laid = scratch.save(_laid_out(spark, sized, plan, scratch), "laid")
     times = _schedule(spark, plan, scratch)
     blocks = F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))
@@ -133,7 +141,7 @@ def _spans(spark: SparkSession, docs: DataFrame, weights, share: float) -> tuple
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) for every document."""
-    laid, met = _spans(spark, docs, weights, share)
+    laid, met = _spans(spark, docs, weights, share, Scratch(spark, "mixing"))
     taken = met.groupBy("source_no", "at").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     out = laid.withColumn("place", F.when(F.col("size") > 0, F.col("at"))).join(taken.withColumnRenamed("at", "place"), ["source_no", "place"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -145,15 +153,17 @@ def mixture(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float
     A pass that takes a whole document carries its text unchanged; one that takes part of it carries
     the taken words, joined by one space. ``n_chars`` follows the text if the column is there.
     """
-    laid, met = _spans(spark, docs, weights, share)
+    scratch, names = Scratch(spark, "mixing"), docs.columns
+    # the numbers are written with the rows, so they stay the same under a retry
+    docs = scratch.save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    laid, met = _spans(spark, docs, weights, share, scratch)
     passes = met.select("source_no", "at", "lo", "hi", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("epoch"))
-    spans = passes.groupBy("source_no", "at", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
-    picked = laid.join(spans, ["source_no", "at"]).where("size > 0").select("doc_id", "h", "size", "epoch", "spans", "got").dropDuplicates(["doc_id", "h", "epoch"])
-    keyed = docs.withColumn("__h", F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))))
-    joined = keyed.join(picked.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("size").alias("__size"), F.col("spans").alias("__spans"), F.col("got").alias("__got")), "__h").where(F.col("doc_id").eqNullSafe(F.col("__d")))
+    spans = passes.groupBy("source_no", "at", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__spans"), F.sum(F.col("hi") - F.col("lo")).alias("__got"))
+    picked = laid.where("size > 0").join(spans, ["source_no", "at"]).select(ROW, F.col("size").alias("__size"), "__spans", "__got")
+    joined = docs.join(picked, ROW)
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(w, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")), 1)
     joined = joined.withColumn("text", F.when(F.col("__got") == F.col("__size"), F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    return joined.select(*names)
