@@ -8,11 +8,12 @@ that any record can be read alone. ``read_archives`` reads through that index.
 Records with equal payloads (by SHA-1, of at least ``min_bytes``) are deduplicated: the one with the
 largest page_id is a response, the others are revisits that refer to it and carry no payload. Null
 html is an empty payload. Repeated rows with the largest page_id are all responses; a null page_id
-is below every other. Null urls become urn:page:<id>. An empty table writes no archive and reads as
-an empty result. Extra columns are ignored.
+is below every other, and of rows that all have none each is a response. Null urls become
+urn:page:<id>. An empty table writes no archive and reads as an empty result. Extra columns are
+ignored.
 
-Archives go to the shared folder, under a temporary name and then moved, so a task that is run
-again leaves the same files and readers never see half of one. Memory holds one record at a time.
+Archives go to the shared folder, named after the attempt that wrote them; only those that a
+finished task reports are read. Memory holds one record at a time.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LEVEL = 4
+#: Payloads shared by more than LARGE pages may be looked up in a broadcast table of at most HOT_DIGESTS.
+LARGE = 256
+HOT_DIGESTS = 100_000
 CRLF = b"\r\n"
 
 
@@ -99,9 +103,8 @@ def normalise(source: str, target: str, level: int = LEVEL) -> tuple[int, int]:
     """
     fs, src = _fs(source)
     _, dst = _fs(target)
-    tmp = f"{dst}.tmp-{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
     n = at = 0
-    with fs.open_input_stream(src, compression=None) as raw, fs.open_output_stream(tmp, compression=None) as out, fs.open_output_stream(tmp + ".idx", compression=None) as idx:
+    with fs.open_input_stream(src, compression=None) as raw, fs.open_output_stream(dst, compression=None) as out, fs.open_output_stream(dst + ".idx", compression=None) as idx:
         for rec in records(gzip.GzipFile(fileobj=raw)):
             packer = zlib.compressobj(level, zlib.DEFLATED, 31)
             member = packer.compress(rec) + packer.flush()
@@ -109,35 +112,53 @@ def normalise(source: str, target: str, level: int = LEVEL) -> tuple[int, int]:
             out.write(member)
             idx.write((json.dumps([head[b"WARC-Record-ID"].decode(), head[b"WARC-Type"].decode(), at, len(member)]) + "\n").encode())
             n, at = n + 1, at + len(member)
-    fs.move(tmp + ".idx", dst + ".idx")
-    fs.move(tmp, dst)
     return n, at
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Pages with their payload, its SHA-1 and size, and the response each revisit refers to."""
+def plan_records(spark: SparkSession, pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
+    """Pages with their payload (null for revisits), its SHA-1 and size, and the response each revisit refers to.
+
+    Who answers for a payload is decided on ids and digests alone, before payloads move. The digests
+    of large groups, at most HOT_DIGESTS, are looked up in a broadcast table, so a payload that a third
+    of all pages share is not dealt out by its digest; the others are joined.
+    """
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
-    ).withColumn("sha", F.sha1("payload"))
+    ).withColumns({"sha": F.sha1("payload"), "n_bytes": F.length("payload").cast("long")})
     # rows without an id count as the least, so the largest id of a group is null only if all are
-    answer = keyed.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("answer"))
-    return keyed.join(answer, "sha", "left").withColumn("revisit", (F.length("payload") >= min_bytes) & F.col("answer").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("answer")))
+    groups = keyed.where(F.col("n_bytes") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("answer"), F.count("*").alias("n")).where("n > 1")
+    groups = scratch.save(groups.withColumnRenamed("sha", "digest"), "groups")
+    rows = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = F.col("n") > max(LARGE, rows // HOT_DIGESTS)
+    hot = groups.where(large).select(F.col("digest").alias("hot_digest"), F.col("answer").alias("hot_answer"))
+    got = keyed.join(F.broadcast(hot), F.col("sha") == F.col("hot_digest"), "left")
+    # rows that the broadcast table answered are dealt out by themselves
+    key = F.when(F.col("hot_digest").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    got = got.withColumn("key", key).join(groups.where(~large).select("digest", "answer"), F.col("key") == F.col("digest"), "left")
+    answer = F.coalesce("hot_answer", "answer")
+    got = got.select("page_id", "url", "payload", "sha", "n_bytes", answer.alias("answer"))
+    got = got.withColumn("revisit", F.col("answer").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("answer")))
+    return got.withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
 
 
 def write_archives(plan: DataFrame, folder: str, keep_single_stream: bool = False) -> DataFrame:
-    """Write ``plan_records`` rows as archives, a normalised one for each task: (path, records, bytes)."""
+    """Write ``plan_records`` rows as archives, a normalised one for each task: (path, records, bytes).
+
+    An archive and its index are named after the attempt that wrote both, and count only by the row
+    returned, so the files of a lost attempt are never read.
+    """
 
     def write(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, root = _fs(folder)
         fs.create_dir(root, recursive=True)
-        whole, final = f"single-{part:06d}-{attempt}.warc.gz", f"part-{part:06d}.warc.gz"
+        whole, final = f"single-{part:06d}-{attempt}.warc.gz", f"part-{part:06d}-{attempt}.warc.gz"
         n = 0
         with fs.open_output_stream(f"{root}/{whole}", compression=None) as sink, gzip.GzipFile(fileobj=sink, mode="wb", compresslevel=1, mtime=0) as out:
             for b in batches:
-                for page, url, payload, sha, answer, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "answer", "revisit"))):
+                for page, url, payload, sha, size, answer, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "n_bytes", "answer", "revisit"))):
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                    out.write(record(page, url, None if revisit else payload, len(payload), digest, answer))
+                    out.write(record(page, url, None if revisit else payload, size, digest, answer))
                     n += 1
         if n:
             n, size = normalise(f"{folder}/{whole}", f"{folder}/{final}")
@@ -194,5 +215,5 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0
     """Write all pages, normalise, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     scratch = Scratch(spark, "warc")
     folder = f"{scratch.root}/archives"
-    written = scratch.save(write_archives(plan_records(pages, min_bytes), folder), "written")
+    written = scratch.save(write_archives(plan_records(spark, pages, scratch, min_bytes), folder), "written")
     return read_archives(written.repartition(max(1, min(written.count(), 100_000)), "path"), with_payload=False)
