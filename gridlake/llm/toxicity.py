@@ -1,11 +1,14 @@
 """Toxicity: a classifier chain of sparse linear models.
 
 The categories are predicted one after another; each model sees the text's features and the
-probabilities of the categories before it. In training those are out-of-fold predictions, so a
-later model never learns from a probability that was fitted on the same row.
+probabilities of the categories before it. In training those are out-of-fold predictions: the terms,
+the choice of features and the weights behind a row's probability come from the other folds' labels
+alone, and equal texts share a fold. So a later model never learns from a probability that its own
+row's label, or that of the same text, helped to fit.
 
 Categories here: ``term`` (holds a term that is far commoner in toxic training rows), ``repeated``
-(holds at least two) and ``toxic`` (the given label). A text's features are its distinct lower-case
+(holds at least two) and ``toxic`` (the given label). The tables label toxicity alone: the first two
+are derived from that label and are steps towards it, no labels of their own. A text's features are its distinct lower-case
 letter runs and their 5-letter prefixes, hashed; whole texts are read.
 
 Null text counts as empty. Repeated rows give repeated results, an empty table an empty one.
@@ -73,11 +76,11 @@ class Sparse:
     def transposed(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.idx, weights=r[self.row], minlength=self.m)
 
-    def take(self, at: np.ndarray) -> Sparse:
-        out, new = Sparse([], self.m), np.full(self.n, -1)
-        new[at] = np.arange(len(at))
-        hit = new[self.row] >= 0
-        out.n, out.idx, out.row = len(at), self.idx[hit], new[self.row[hit]]
+    def take(self, rows: np.ndarray, columns: np.ndarray) -> Sparse:
+        out, row, col = Sparse([], len(columns)), np.full(self.n, -1), np.full(self.m, -1)
+        row[rows], col[columns] = np.arange(len(rows)), np.arange(len(columns))
+        hit = (row[self.row] >= 0) & (col[self.idx] >= 0)
+        out.n, out.idx, out.row = len(rows), col[self.idx[hit]], row[self.row[hit]]
         return out
 
 
@@ -131,35 +134,43 @@ def fit_chain(rows: list[np.ndarray], y: np.ndarray, folds: int = 5) -> Chain:
         return Chain({}, [(np.zeros(0), np.array([0.0] * j + [np.log(share / (1 - share))])) for j in range(len(CATEGORIES))])
     flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ids, inverse = np.unique(flat, return_inverse=True)
-    pos, every = np.bincount(inverse, weights=y[of], minlength=len(ids)), np.bincount(inverse, minlength=len(ids))
-    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((every - pos + 0.5) / (len(y) - y.sum() + 1))
-    usual = every >= 3
-    strength = np.where(usual, np.abs(odds) * np.sqrt(np.minimum(pos, 50) + 0.1), 0)
-    kept = np.sort(np.argsort(-strength, kind="stable")[:MAX_FEATURES])
-    place = np.full(len(ids), -1)
-    place[kept] = np.arange(len(kept))
-    x = Sparse([], len(kept))
-    hit = place[inverse] >= 0
-    x.n, x.idx, x.row = len(rows), place[inverse[hit]], of[hit]
-    strong = (odds > 2.5) & usual
-    terms = np.bincount(of, weights=strong[inverse], minlength=len(rows))
-    targets = [(terms >= 1).astype(float), (terms >= 2).astype(float), y]
-    fold = np.arange(len(y)) % folds
+    x = Sparse([], len(ids))
+    x.n, x.idx, x.row = len(rows), inverse, of
+    every = np.arange(len(y))
+    fold = np.array([zlib.crc32(r.tobytes()) % folds for r in rows])
+    train = [np.flatnonzero(fold != k) for k in range(folds)]
+    kept, targets = _learned(x, y, every)
+    parts = [_learned(x, y, at) for at in train]
     dense, models = np.empty((len(y), 0)), []
-    for target in targets:
-        models.append(_fit(x, dense, target))
+    for j in range(len(CATEGORIES)):
+        models.append(_fit(x.take(every, kept), dense, targets[j]))
         out = np.zeros(len(y))
-        for k in range(folds):
-            train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            if not len(train) or not len(test):
-                out[test] = target.mean()
+        for k, (columns, own) in enumerate(parts):
+            at, test = train[k], np.flatnonzero(fold == k)
+            if not len(at) or not len(test):
+                out[test] = targets[j].mean()
                 continue
-            w, v = _fit(x.take(train), dense[train], target[train])
-            out[test] = _sigmoid(x.take(test).times(w) + dense[test] @ v[:-1] + v[-1])
+            w, v = _fit(x.take(at, columns), dense[at], own[j][at])
+            out[test] = _sigmoid(x.take(test, columns).times(w) + dense[test] @ v[:-1] + v[-1])
         dense = np.hstack([dense, out[:, None]])
     return Chain({int(ids[k]): i for i, k in enumerate(kept)}, models)
 
 
+def _learned(x: Sparse, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The features to use and the target of each category for every row, from the labels of rows ``at`` alone."""
+    seen = np.zeros(x.n, bool)
+    seen[at] = True
+    hit = seen[x.row]
+    idx, label = x.idx[hit], y[x.row[hit]]
+    pos, every = np.bincount(idx, weights=label, minlength=x.m), np.bincount(idx, minlength=x.m)
+    toxic = y[at].sum()
+    odds = np.log((pos + 0.5) / (toxic + 1)) - np.log((every - pos + 0.5) / (len(at) - toxic + 1))
+    usual = every >= 3
+    strength = np.where(usual, np.abs(odds) * np.sqrt(np.minimum(pos, 50) + 0.1), 0)
+    terms = x.times(((odds > 2.5) & usual).astype(float))
+    return np.sort(np.argsort(-strength, kind="stable")[:MAX_FEATURES]), [(terms >= 1).astype(float), (terms >= 2).astype(float), y]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Chain:
     """Fit on rows of ``labels`` (doc_id, toxic) that are not held out, at most ``max_rows``."""
     chosen = (
