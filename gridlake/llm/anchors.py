@@ -10,19 +10,36 @@ the others are told apart by a flag or settled on the spot, so a passage copied
 documents is sent once by each task. Of first segments alone (``first_only``), one met again in the
 same document at the same place is that segment, a repeated row's, and doesn't repeat it. Long sequences are worked off in pieces that overlap by W - 1,
 which changes no window.
+
+Anchors that many segments have in common would fill a shard. A first pass counts the segments of
+all anchors in 2**CELL_BITS cells (``plan``), and windows then take an anchor in a crowded cell only
+if they hold no other; such a window is a segment by itself whose anchor is its own hash. Any choice
+that looks at a window's content alone brings equal windows together, so results don't depend on
+the counts. The number of shards follows from the symbols that the first pass counted.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 
-from .common import groups, mix64, sliding_min
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch, groups, mix64, sliding_min
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 
+#: Segments are counted in 2**CELL_BITS cells of anchors. A cell is crowded if it has over CROWD
+#: segments and over 1 / MOST_CROWDS of all, so at most MOST_CROWDS cells are, which tasks are told of.
+CELL_BITS = 22
+CROWD = 20_000
+MOST_CROWDS = 1 << 18
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,10 +74,15 @@ class Rolling:
         return mix64((self.sums[start + k] - self.sums[start]) * self.back[start])
 
 
-def cut(values: np.ndarray, piece: np.ndarray, window: int, k: int):
+def cells(anchor: np.ndarray) -> np.ndarray:
+    return (anchor >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def cut(values: np.ndarray, piece: np.ndarray, window: int, k: int, crowded: np.ndarray | None = None):
     """Segments of a concatenation of pieces: (start, windows, anchor hash, content key, Rolling).
 
-    ``piece`` numbers the piece of each position; windows across pieces don't count.
+    ``piece`` numbers the piece of each position; windows across pieces don't count. ``crowded`` tells
+    the cells whose anchors are avoided.
     """
     n = len(values) - window + 1
     empty = np.empty(0, np.int64)
@@ -69,15 +91,25 @@ def cut(values: np.ndarray, piece: np.ndarray, window: int, k: int):
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), roll
     bits = np.uint64(max(1, int(len(values)).bit_length()))
     grams = roll.every(k)
-    packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+    rank = grams
+    if crowded is not None:  # the others come first
+        top = np.uint64(63)
+        rank = (grams >> np.uint64(1)) | (crowded[cells(grams)].astype(np.uint64) << top)
+    packed = (rank >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_min(packed, window - k + 1)
     valid = piece[:n] == piece[window - 1 :]
+    new = least[1:] != least[:-1]
+    if crowded is not None:
+        alone = (least >> top).astype(bool)
+        new |= alone[1:]
     first = valid.copy()
-    first[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
+    first[1:] &= new | ~valid[:-1]
     last = valid.copy()
-    last[:-1] &= (least[1:] != least[:-1]) | ~valid[1:]
+    last[:-1] &= new | ~valid[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last)
     anchor = grams[(least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+    if crowded is not None:
+        anchor = np.where(alone[start], roll.at(start, window), anchor)
     # a segment is at most 2W - k long, so its first and last windows cover it
     key = mix64(roll.at(start, window) * np.uint64(3) + mix64(roll.at(end, window) ^ (end - start).astype(np.uint64)))
     return start, end - start + 1, anchor, key, roll
@@ -93,6 +125,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+class Plan(NamedTuple):
+    shards: int
+    crowded: np.ndarray  # numbers of the cells whose anchors are avoided
+
+
 class Sender:
     """Collects pieces of sequences and yields blobs for shards.
 
@@ -101,9 +138,12 @@ class Sender:
     each window's hash, for symbols that stand for more than one value. Settled segments go as spans.
     """
 
-    def __init__(self, window: int, k: int, shards: int, first_only: bool, chunk: int, checks: bool = False):
-        self.window, self.k, self.shards, self.first_only, self.chunk = window, k, shards, first_only, chunk
-        self.checks = checks
+    def __init__(self, window: int, k: int, plan: Plan, first_only: bool, chunk: int, checks: bool = False):
+        self.window, self.k, self.shards, self.first_only, self.chunk = window, k, plan.shards, first_only, chunk
+        self.checks, self.crowded = checks, None
+        if len(plan.crowded):
+            self.crowded = np.zeros(1 << CELL_BITS, bool)
+            self.crowded[plan.crowded] = True
         self.packer = zstandard.ZstdCompressor(level=1)
         self.held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -126,7 +166,7 @@ class Sender:
         offset = np.array([lo for _, lo, _, _ in self.held]) - (np.cumsum(lengths) - lengths)
         docs = np.array([d for d, _, _, _ in self.held], np.int64)
         self.held, self.size = [], 0
-        start, count, anchor, key, roll = cut(values, piece, self.window, self.k)
+        start, count, anchor, key, roll = cut(values, piece, self.window, self.k, self.crowded)
         if not len(start):
             return
         doc, place = docs[piece[start]], start + offset[piece[start]]
@@ -167,6 +207,44 @@ class Sender:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
 
 
+class Tally(Sender):
+    """Counts, in place of blobs, the segments that a Sender would send, by cell of their anchor, and their symbols."""
+
+    def __init__(self, window: int, k: int, first_only: bool, chunk: int):
+        super().__init__(window, k, Plan(1, np.empty(0, np.int64)), first_only, chunk)
+        self.n, self.symbols = np.zeros(1 << CELL_BITS, np.int64), 0
+
+    def _blobs(self, send, shard, anchor, doc, place, count, flag, start, symbols, span, check):
+        at, n = np.unique(cells(anchor[send]), return_counts=True)
+        self.n[at] += n
+        self.symbols += int((count[send] + self.window - 1).sum())
+        return iter(())
+
+    def total(self) -> pa.RecordBatch:
+        at = np.flatnonzero(self.n)
+        return pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([self.symbols, *self.n[at]], pa.int64())], ["cell", "n"])
+
+
+def plan(texts: DataFrame, scratch: Scratch, read, window: int, k: int, first_only: bool, chunk: int, shard_symbols: int) -> Plan:
+    """What the pass over all ``texts`` shows; ``read`` gives (doc, values, symbols) of Arrow batches."""
+
+    def count(batches):
+        tally = Tally(window, k, first_only, chunk)
+        for row in read(batches):
+            for _ in tally.add(*row):
+                pass
+        for _ in tally.flush():
+            pass
+        yield tally.total()
+
+    counts = scratch.save(texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "anchors")
+    symbols, segments = counts.agg(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.sum(F.when(F.col("cell") >= 0, F.col("n")))).first()
+    many = counts.where((F.col("cell") >= 0) & (F.col("n") > max(CROWD, (segments or 0) // MOST_CROWDS))).select("cell")
+    crowded = np.array(sorted(r.cell for r in many.collect()), np.int64)
+    scratch.drop(counts)
+    return Plan(max(1, -(-(symbols or 0) // shard_symbols)), crowded)
+
+
 class Shard:
     """What a shard received: segments whose anchor came more than once, and settled spans."""
 

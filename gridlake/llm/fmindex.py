@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sender, Shard, by_shard, union
+from .anchors import Plan, Sender, Shard, by_shard, plan, union
 from .common import WORD_RE, Scratch, WordHashes, parts
 
 WINDOW = 20
 ANCHOR = 5
 CHUNK = 1_000_000
-SHARDS_PER_PARTITION = 4
+#: Symbols of one shard, on average.
+SHARD_SYMBOLS = 400_000
 
 
 class Bits:
@@ -154,23 +155,29 @@ def _judge(window: int):
     return run
 
 
-def _send(window: int, anchor: int, shards: int):
+def _read(batches):
+    hashes = WordHashes()
+    for b in batches:
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            h = hashes.of(WORD_RE.findall(text or ""))
+            yield doc, h, ((h >> np.uint64(33)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+
+
+def _send(window: int, anchor: int, how: Plan):
     def run(batches):
-        hashes, sender = WordHashes(), Sender(window, anchor, shards, True, CHUNK, checks=True)
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                h = hashes.of(WORD_RE.findall(text or ""))
-                yield from sender.add(doc, h, ((h >> np.uint64(33)) % np.uint64(255) + np.uint64(1)).astype(np.uint8))
+        sender = Sender(window, anchor, how, True, CHUNK, checks=True)
+        for row in _read(batches):
+            yield from sender.add(*row)
         yield from sender.flush()
 
     return run
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, spans): the word spans to remove, a list of int64 pairs as bytes from each shard."""
-    shards = parts(spark) * SHARDS_PER_PARTITION
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sent = texts.mapInArrow(_send(window, anchor, shards), "shard int, blob binary")
+    how = plan(texts, scratch, _read, window, anchor, True, CHUNK, SHARD_SYMBOLS)
+    sent = texts.mapInArrow(_send(window, anchor, how), "shard int, blob binary")
     met = sent.repartition(parts(spark), "shard").sortWithinPartitions("shard")
     return met.mapInArrow(by_shard(_judge(window), window), "doc_id long, spans binary")
 
@@ -197,7 +204,7 @@ def _finish(keep_text: bool):
 
 def _with_spans(spark: SparkSession, docs: DataFrame, window: int) -> DataFrame:
     scratch = Scratch(spark, "fmindex")
-    spans = scratch.save(repeated_spans(spark, docs, window), "spans")
+    spans = scratch.save(repeated_spans(spark, docs, scratch, window), "spans")
     lists = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("blobs"))
     return lists.select(F.col("doc_id").alias("__d"), "blobs")
 

@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sender, Shard, by_shard, union
+from .anchors import Plan, Sender, Shard, by_shard, plan, union
 from .common import Scratch, parts
 
 WINDOW = 400
 ANCHOR = 64
 Q = 8
 CHUNK = 1_000_000
-SHARDS_PER_PARTITION = 16
+#: Bytes of one shard, on average.
+SHARD_SYMBOLS = 400_000
 
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -85,23 +86,28 @@ def _judge(window: int):
     return run
 
 
-def _send(window: int, anchor: int, shards: int):
+def _read(batches):
+    for b in batches:
+        for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist()):
+            symbols = np.frombuffer(raw or b"", np.uint8)
+            yield doc, _VALUES[symbols], symbols
+
+
+def _send(window: int, anchor: int, how: Plan):
     def run(batches):
-        sender = Sender(window, anchor, shards, False, CHUNK)
-        for b in batches:
-            for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist()):
-                symbols = np.frombuffer(raw or b"", np.uint8)
-                yield from sender.add(doc, _VALUES[symbols], symbols)
+        sender = Sender(window, anchor, how, False, CHUNK)
+        for row in _read(batches):
+            yield from sender.add(*row)
         yield from sender.flush()
 
     return run
 
 
-def repeated_byte_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_byte_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, spans): the byte spans to remove, a list of int64 pairs as bytes from each shard."""
-    shards = parts(spark) * SHARDS_PER_PARTITION
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).where("doc_id is not null")
-    sent = texts.mapInArrow(_send(window, anchor, shards), "shard int, blob binary")
+    how = plan(texts, scratch, _read, window, anchor, False, CHUNK, SHARD_SYMBOLS)
+    sent = texts.mapInArrow(_send(window, anchor, how), "shard int, blob binary")
     met = sent.repartition(parts(spark), "shard").sortWithinPartitions("shard")
     return met.mapInArrow(by_shard(_judge(window)), "doc_id long, spans binary")
 
@@ -124,7 +130,7 @@ def _finish(batches):
 def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
     scratch = Scratch(spark, "suffix")
-    spans = scratch.save(repeated_byte_spans(spark, docs, window), "spans")
+    spans = scratch.save(repeated_byte_spans(spark, docs, scratch, window), "spans")
     lists = spans.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("spans").alias("blobs"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     out = texts.join(lists, F.col("doc_id") == F.col("__d"), "left").select("doc_id", "raw", "blobs")
