@@ -6,10 +6,13 @@ grouped aggregate and a join (``sumifs_report``), not a scan for each row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..criteria import all_of, any_row
+from . import ordered
 
 AGGREGATES = {
     "SUM": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "AVERAGE": F.avg, "COUNT": F.count, "COUNTA": F.count, "MAX": lambda c: F.coalesce(F.max(c), F.lit(0.0)), "MIN": lambda c: F.coalesce(F.min(c), F.lit(0.0)),
@@ -32,21 +35,14 @@ def aggregate(name: str | int, c: Column) -> Column:
     return AGGREGATES[SHORT.get(name, name)](c)
 
 
-def percentile(c: Column, p: float) -> Column:
-    """PERCENTILE.INC: interpolated on ranks 0..n-1, from counts of distinct values."""
-    return F.percentile(c, F.lit(p))
+def percentile(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """PERCENTILE.INC and QUARTILE.INC: interpolated on ranks 0..n-1, a column for each share."""
+    return ordered.percentiles(df, value, shares)
 
 
 def percentile_exc(df: DataFrame, value: str, p: float, alias: str) -> DataFrame:
-    """PERCENTILE.EXC: interpolated on ranks 1..n of n+1, null (#NUM!) outside them.
-
-    It is the inclusive percentile at ((n + 1) p - 1) / (n - 1), which needs n first.
-    """
-    n = df.agg(F.count(value)).first()[0]
-    place = (n + 1) * p - 1
-    inside = n > 0 and 0 <= place <= n - 1
-    at = place / (n - 1) if n > 1 else 0.0
-    return df.agg((F.percentile(value, F.lit(float(at))) if inside else F.lit(None).cast("double")).alias(alias))
+    """PERCENTILE.EXC: interpolated on ranks 1..n of n+1, null (#NUM!) outside them."""
+    return ordered.percentiles(df, value, {alias: p}, exclusive=True)
 
 
 def conditional(df: DataFrame, name: str, column: str | None, criteria, alias: str) -> DataFrame:
@@ -115,13 +111,16 @@ def distinct_count(df: DataFrame, column: str, alias: str) -> DataFrame:
 def trimmed_mean(df: DataFrame, value: str, share: float, alias: str) -> DataFrame:
     """TRIMMEAN: floor(n * share / 2) values go at either end.
 
-    Values are counted first, so ranks are over distinct values and no task sorts all rows.
+    The values at the cuts are selected first; the rest is one aggregate.
     """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    cut = F.floor(F.col("n") * share / 2)
-    kept = F.greatest(F.least(F.col("upto"), F.col("n") - cut) - F.greatest(F.col("upto") - F.col("c"), cut), F.lit(0))
-    return run.crossJoin(F.broadcast(total)).agg((F.sum(F.col("v") * kept) / F.sum(kept)).alias(alias))
+    cut = lambda n: math.floor(n * share / 2)
+    n, at = ordered.at_ranks(df, value, lambda n: [cut(n), n - 1 - cut(n)])
+    k, v = cut(n), F.col(value).cast("double")
+    if not n or n <= 2 * k:
+        return df.sparkSession.createDataFrame([(None,)], f"`{alias}` double")
+    lo, hi = at[k], at[n - 1 - k]
+    # of the values at the cuts as many stay as aren't cut off
+    if lo == hi:
+        return df.agg(F.lit(lo).alias(alias)).limit(1)
+    inner = F.coalesce(F.sum(F.when((v > lo) & (v < hi), v)), F.lit(0.0))
+    return df.agg(((inner + lo * (F.count(F.when(v <= lo, 1)) - k) + hi * (F.count(F.when(v >= hi, 1)) - k)) / (n - 2 * k)).alias(alias))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..compiler import compile_formula, scope, shown
 from ..values import to_bool
+from .ordered import numbered  # noqa: F401
 
 
 def filter_rows(df: DataFrame, include: str) -> DataFrame:
@@ -86,15 +87,3 @@ def textsplit(df: DataFrame, column: str, by: str, key: list[str], alias: str =
     """TEXTSPLIT down: a row for each part, with its 1-based place."""
     parts = F.posexplode(F.split(F.col(column), F.concat(F.lit(r"\Q"), F.lit(by), F.lit(r"\E")), -1)).alias("place", alias)
     return df.select(*key, parts).withColumn("place", F.col("place") + 1)
-
-
-def numbered(df: DataFrame, *order: str, alias: str = "row_id") -> DataFrame:
-    """1-based places by ``order``, computed in ranges rather than in one task.
-
-    Rows are range-partitioned; each range is numbered alone and shifted by the sizes before it.
-    """
-    ranged = df.withColumn("__key", F.struct(*order)).repartitionByRange("__key").withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy("__key")))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return local.join(before, "__part").withColumn(alias, F.col("__before") + F.col("__r")).drop("__key", "__part", "__r", "__before")

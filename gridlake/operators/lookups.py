@@ -6,20 +6,23 @@ be large.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..criteria import wildcard
+from .ordered import latest, numbered
 
 
 def _key(df: DataFrame, c: str):
     return F.lower(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c)
 
 
-def xlookup(df: DataFrame, key: str, table: DataFrame, match: str, result: str, alias: str, order: str | None = None, last: bool = False, missing=None) -> DataFrame:
-    """XLOOKUP and VLOOKUP exact: the first row by ``order`` (default: the result), or the last."""
-    by = F.col(order or result)
-    pick = (F.max_by if last else F.min_by)(F.struct(F.lit(1).alias("hit"), F.col(result).alias("v")), by)
+def xlookup(df: DataFrame, key: str, table: DataFrame, match: str, result: str, alias: str, order: str, last: bool = False, missing=None) -> DataFrame:
+    """XLOOKUP and VLOOKUP exact: the result of the first matching row by ``order``, or of the last.
+
+    A table's rows have no place of their own, so ``order`` says what stands for it.
+    """
+    pick = (F.max_by if last else F.min_by)(F.struct(F.lit(1).alias("hit"), F.col(result).alias("v")), F.col(order))
     side = table.where(F.col(match).isNotNull()).groupBy(_key(table, match).alias("__k")).agg(pick.alias("__r"))
     out = df.withColumn("__q", _key(df, key)).join(side, F.col("__q") == F.col("__k"), "left")
     value = F.col("__r.v")
@@ -30,27 +33,19 @@ def xlookup(df: DataFrame, key: str, table: DataFrame, match: str, result: str,
 
 def match_position(df: DataFrame, key: str, table: DataFrame, match: str, order: str, alias: str) -> DataFrame:
     """MATCH(..., 0): the 1-based place of the first equal row by ``order``."""
-    placed = table.select(_key(table, match).alias("__m"), F.row_number().over(Window.orderBy(order)).alias("__at"))
+    placed = numbered(table.select(_key(table, match).alias("__m"), order), order, alias="__at")
     side = placed.where("__m is not null").groupBy("__m").agg(F.min("__at").alias(alias))
     return df.withColumn("__q", _key(df, key)).join(side, F.col("__q") == F.col("__m"), "left").drop("__q", "__m")
 
 
 def lookup_asof(df: DataFrame, key: str, bands: DataFrame, lower: str, result: str, alias: str) -> DataFrame:
-    """LOOKUP and approximate VLOOKUP: the result of the largest bound that is at most the key.
-
-    Bounds become half-open intervals. Keys are dealt to them through a sorted array of the bounds
-    when they are few, else by a range join.
-    """
-    w = Window.orderBy(lower)
-    side = bands.where(F.col(lower).isNotNull()).select(F.col(lower).alias("__lo"), F.lead(lower).over(w).alias("__hi"), F.col(result).alias(alias))
-    return df.join(side, (F.col(key) >= F.col("__lo")) & (F.col("__hi").isNull() | (F.col(key) < F.col("__hi"))), "left").drop("__lo", "__hi")
+    """LOOKUP and approximate VLOOKUP: the result of the largest bound that is at most the key."""
+    return latest(df, key, bands, lower, result, alias)
 
 
 def lookup_next(df: DataFrame, key: str, bands: DataFrame, upper: str, result: str, alias: str) -> DataFrame:
     """XLOOKUP with the next larger match: the result of the smallest bound that is at least the key."""
-    w = Window.orderBy(upper)
-    side = bands.where(F.col(upper).isNotNull()).select(F.lag(upper).over(w).alias("__lo"), F.col(upper).alias("__hi"), F.col(result).alias(alias))
-    return df.join(side, (F.col(key) <= F.col("__hi")) & (F.col("__lo").isNull() | (F.col(key) > F.col("__lo"))), "left").drop("__lo", "__hi")
+    return latest(df, key, bands, upper, result, alias, following=True)
 
 
 def lookup_wildcard(df: DataFrame, patterns: list[tuple[str, object]], column: str, alias: str) -> DataFrame:

@@ -5,38 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _counts(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values with their numbers of smaller and of larger rows, joined back by value.
-
-    Only distinct values are ordered in one place; rows are joined by their value.
-    """
-    c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    up, down = Window.orderBy("__v"), Window.orderBy(F.desc("__v"))
-    return c.select("__v", "__c", (F.sum("__c").over(up) - F.col("__c")).alias("__less"), (F.sum("__c").over(down) - F.col("__c")).alias("__more"))
+from .ordered import running, value_counts
 
 
 def rank(df: DataFrame, value: str, alias: str, ascending: bool = False, average: bool = False) -> DataFrame:
-    """RANK.EQ, or RANK.AVG with ``average``."""
-    side = _counts(df, value)
-    r = F.col("__less" if ascending else "__more") + 1
+    """RANK.EQ, or RANK.AVG with ``average``: distinct values are ranked, and joined back by value."""
+    side = value_counts(df, value)
+    r = (F.col("__less") if ascending else F.col("__n") - F.col("__less") - F.col("__c")) + 1
     r = r + (F.col("__c") - 1) / 2 if average else r
-    return df.join(side, F.col(value) == F.col("__v"), "left").withColumn(alias, r).drop("__v", "__c", "__less", "__more")
+    return df.join(side, F.col(value) == F.col("__v"), "left").withColumn(alias, r).drop("__v", "__c", "__less", "__n")
 
 
 def percent_rank(df: DataFrame, value: str, alias: str, digits: int = 3, exclusive: bool = False) -> DataFrame:
     """PERCENTRANK.INC or .EXC of each member, cut to ``digits``."""
-    side = _counts(df, value)
-    n = F.col("__less") + F.col("__more") + F.col("__c")
+    side, n = value_counts(df, value), F.col("__n")
     p = (F.col("__less") + 1) / (n + 1) if exclusive else F.when(n > 1, F.col("__less") / (n - 1)).otherwise(1.0)
     scale = 10.0**digits
-    return df.join(side, F.col(value) == F.col("__v"), "left").withColumn(alias, F.floor(p * scale + 1e-9) / scale).drop("__v", "__c", "__less", "__more")
+    return df.join(side, F.col(value) == F.col("__v"), "left").withColumn(alias, F.floor(p * scale + 1e-9) / scale).drop("__v", "__c", "__less", "__n")
+
+
+def percent_rank_of(df: DataFrame, value: str, x: float, alias: str, digits: int = 3, exclusive: bool = False) -> DataFrame:
+    """PERCENTRANK of one number, interpolated between its neighbours; null (#N/A) outside the values."""
+    v = F.col(value).cast("double")
+    got = df.agg(F.count(v).alias("n"), F.count(F.when(v < x, 1)).alias("less"), F.max(F.when(v <= x, v)).alias("lo"), F.min(F.when(v >= x, v)).alias("hi"), F.count(F.when(v <= x, 1)).alias("upto"))
+    # a member stands at its smaller rows; what lies between two members is on the line that joins them
+    last = df.agg(F.max(F.when(v < x, v)).alias("__lo")).select("__lo")
+    ties = df.crossJoin(F.broadcast(last)).agg(F.count(F.when(v == F.col("__lo"), 1)).alias("ties"))
+    got = got.crossJoin(F.broadcast(ties))
+    place = F.when(F.col("lo") == F.col("hi"), F.col("less")).otherwise(F.col("less") - F.col("ties") + (F.lit(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("ties"))
+    p = (place + 1) / (F.col("n") + 1) if exclusive else F.when(F.col("n") > 1, place / (F.col("n") - 1)).otherwise(1.0)
+    scale = 10.0**digits
+    return got.select(F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.floor(p * scale + 1e-9) / scale).alias(alias))
 
 
 def running_total(df: DataFrame, value: str, by: list[str], order: list[str], alias: str) -> DataFrame:
     """=C1+B2 copied down each group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(alias, F.sum(value).over(w))
+    return running(df, value, by, order, alias)
 
 
 def rolling(df: DataFrame, name: str, value: str, size: int, by: list[str], order: list[str], alias: str) -> DataFrame:

@@ -77,12 +77,12 @@ def sort_drop(s, d):
 
 @query("SELECT c_custkey, coalesce(n_name, '?') AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def xlookup_nation(s, d):
-    return lk.xlookup(t(s, d, "customer"), "c_nationkey", t(s, d, "nation"), "n_nationkey", "n_name", "nation", missing="?").select("c_custkey", "nation")
+    return lk.xlookup(t(s, d, "customer"), "c_nationkey", t(s, d, "nation"), "n_nationkey", "n_name", "nation", "n_nationkey", missing="?").select("c_custkey", "nation")
 
 
 @query("SELECT c_custkey, k AS last_order FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def xlookup_last(s, d):
-    return lk.xlookup(t(s, d, "customer"), "c_custkey", t(s, d, "orders"), "o_custkey", "o_orderkey", "last_order", last=True).select("c_custkey", "last_order")
+    return lk.xlookup(t(s, d, "customer"), "c_custkey", t(s, d, "orders"), "o_custkey", "o_orderkey", "last_order", "o_orderkey", last=True).select("c_custkey", "last_order")
 
 
 _BANDS = [(0.0, "low"), (1000.0, "mid"), (1500.0, "high")]
@@ -145,8 +145,7 @@ def anti_join(s, d):
 
 @query("SELECT round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1 FROM lineitem")
 def percentiles(s, d):
-    c = F.col("l_extendedprice")
-    return t(s, d, "lineitem").agg(F.median(c).alias("med"), ag.percentile(c, 0.9).alias("p90"), ag.percentile(c, 0.25).alias("q1")).select(r("med"), r("p90"), r("q1"))
+    return ag.percentile(t(s, d, "lineitem"), "l_extendedprice", {"med": 0.5, "p90": 0.9, "q1": 0.25}).select(r("med"), r("p90"), r("q1"))
 
 
 @query("SELECT round(q, 3) AS p FROM (SELECT lo + (hi - lo) * (place - floor(place)) AS q FROM (SELECT max(v) FILTER (WHERE i = floor(place)) AS lo, max(v) FILTER (WHERE i = floor(place) + 1) AS hi, max(place) AS place FROM (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, (count(*) OVER () + 1) * 0.9::DOUBLE AS place FROM orders)))")
@@ -241,9 +240,15 @@ def row_formulas(s, d):
     return out.select("l_orderkey", "l_linenumber", r("charge", 6), r("ratio"))
 
 
-@query("SELECT l_orderkey, o_orderdate FROM lineitem LEFT JOIN (SELECT o_orderkey, min(o_orderdate) AS o_orderdate FROM orders GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("SELECT l_orderkey, o_orderdate FROM lineitem LEFT JOIN (SELECT o_orderkey, min_by(o_orderdate, o_orderkey) AS o_orderdate FROM orders GROUP BY 1) ON l_orderkey = o_orderkey")
 def vlookup_large(s, d):
-    return lk.xlookup(t(s, d, "lineitem"), "l_orderkey", t(s, d, "orders"), "o_orderkey", "o_orderdate", "o_orderdate").select("l_orderkey", "o_orderdate")
+    return lk.xlookup(t(s, d, "lineitem"), "l_orderkey", t(s, d, "orders"), "o_orderkey", "o_orderdate", "o_orderdate", "o_orderkey").select("l_orderkey", "o_orderdate")
+
+
+@query("SELECT c_custkey, first.p AS first_price, last.p AS last_price FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) first ON first.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) last ON last.o_custkey = c_custkey")
+def xlookup_by_place(s, d):
+    first = lk.xlookup(t(s, d, "customer"), "c_custkey", t(s, d, "orders"), "o_custkey", "o_totalprice", "first_price", "o_orderkey")
+    return lk.xlookup(first, "c_custkey", t(s, d, "orders"), "o_custkey", "o_totalprice", "last_price", "o_orderkey", last=True).select("c_custkey", "first_price", "last_price")
 
 
 @query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
@@ -261,6 +266,18 @@ def numbered(s, d):
     return ar.numbered(t(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").select("c_custkey", "row_id")
 
 
-@query()
-def normal_scores(s, d):
-    return add_columns(t(s, d, "supplier"), {"p": "=NORM.DIST([s_acctbal],4500,3000,TRUE)"}).select("s_suppkey", r("p", 8))
+@query("SELECT round(avg(v), 4) AS mean FROM (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders) WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1)")
+def trimmed_mean(s, d):
+    return ag.trimmed_mean(t(s, d, "orders"), "o_totalprice", 0.2, "mean").select(r("mean"))
+
+
+@query("SELECT floor((less + (250000 - lo) / (hi - lo)) / (n - 1) * 1000000 + 1e-9) / 1000000 AS p FROM (SELECT count(*) FILTER (WHERE o_totalprice < 250000) - 1 AS less, max(o_totalprice) FILTER (WHERE o_totalprice < 250000) AS lo, min(o_totalprice) FILTER (WHERE o_totalprice > 250000) AS hi, count(*) AS n FROM orders)")
+def percentrank_between(s, d):
+    return wi.percent_rank_of(t(s, d, "orders"), "o_totalprice", 250_000.0, "p", digits=6)
+
+
+@query("SELECT p_partkey, (SELECT arg_max(o_orderkey, o_totalprice) FROM orders WHERE o_totalprice <= p_retailprice * 100) AS below, (SELECT arg_min(o_orderkey, o_totalprice) FROM orders WHERE o_totalprice >= p_retailprice * 100) AS above FROM part")
+def lookup_many_bounds(s, d):
+    keys = t(s, d, "part").withColumn("k", F.col("p_retailprice") * 100)
+    below = lk.lookup_asof(keys, "k", t(s, d, "orders"), "o_totalprice", "o_orderkey", "below")
+    return lk.lookup_next(below, "k", t(s, d, "orders"), "o_totalprice", "o_orderkey", "above").select("p_partkey", "below", "above")

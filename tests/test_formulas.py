@@ -55,9 +55,43 @@ def test_errors_travel(spark):
 
 def test_lookup_edges(spark):
     left = spark.createDataFrame([("A",), ("z",), (None,)], "k string")
-    table = spark.createDataFrame([("a", 2), ("A", 1), (None, 9)], "k2 string, v int")
-    got = {r.k: r.x for r in lookups.xlookup(left, "k", table, "k2", "v", "x", missing=-1).collect()}
-    assert got == {"A": 1, "z": -1, None: -1}
+    table = spark.createDataFrame([("a", 2, 1), ("A", 1, 2), (None, 9, 3)], "k2 string, v int, row_id int")
+    got = {r.k: r.x for r in lookups.xlookup(left, "k", table, "k2", "v", "x", "row_id", missing=-1).collect()}
+    assert got == {"A": 2, "z": -1, None: -1}
+    got = {r.k: r.x for r in lookups.xlookup(left, "k", table, "k2", "v", "x", "row_id", last=True).collect()}
+    assert got == {"A": 1, "z": None, None: None}
+
+
+def test_order_statistics(spark, monkeypatch):
+    from gridlake.operators import aggregates, ordered, windows
+
+    monkeypatch.setattr(ordered, "SMALL", 20)
+    values = [((k * 37) % 500) / 4 if k % 3 else 7.0 for k in range(2000)] + [None] * 10
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double").repartition(4)
+    have = sorted(v for v in values if v is not None)
+    n, at = ordered.at_ranks(df, "v", lambda n: [0, 5, 999, n - 1, n])
+    assert n == 2000 and at == {k: have[k] for k in (0, 5, 999, 1999)}
+    kept = have[100:-100]
+    assert abs(aggregates.trimmed_mean(df, "v", 0.1, "m").first().m - sum(kept) / len(kept)) < 1e-9
+    ranks = {r.id: r.p for r in windows.rank(df, "v", "p", ascending=True).collect()}
+    assert all(ranks[i] == (None if v is None else 1 + sum(h < v for h in have)) for i, v in list(enumerate(values))[::50])
+    total, run = {}, {}
+    for r in windows.running_total(df.withColumn("g", F.col("id") % 2), "v", ["g"], ["id"], "t").orderBy("id").collect():
+        total[r.g] = total.get(r.g, 0.0) + (r.v or 0.0)
+        run[r.id] = abs(r.t - total[r.g])
+    assert max(run.values()) < 1e-6 and len(run) == len(values)
+    empty = df.where("id < 0")
+    assert ordered.percentiles(empty, "v", {"p": 0.5}).first().p is None and windows.rank(empty, "v", "p").count() == 0
+
+
+def test_lookup_by_ranges(spark):
+    bands = spark.createDataFrame([(float(k * k), f"b{k}") for k in range(60)] + [(None, "x")], "lo double, name string").repartition(3)
+    keys = spark.createDataFrame([(float(k),) for k in range(-5, 4000, 7)] + [(None,), (16.0,), (16.0,)], "k double")
+    low = lambda k: None if k is None or k < 0 else f"b{max(j for j in range(60) if j * j <= k)}"
+    high = lambda k: None if k is None or k > 59 * 59 else f"b{min(j for j in range(60) if j * j >= k)}"
+    for got, want in ((lookups.lookup_asof(keys, "k", bands, "lo", "name", "x"), low), (lookups.lookup_next(keys, "k", bands, "lo", "name", "x"), high)):
+        rows = got.collect()
+        assert len(rows) == keys.count() and all(r.x == want(r.k) for r in rows)
 
 
 def test_numbered(spark):
