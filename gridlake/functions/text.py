@@ -182,3 +182,26 @@ def _(x, mode=None):
     s = to_text(x)
     return Val(F.concat(F.lit('"'), s.v, F.lit('"')) if mode is not None and x.kind == "t" else s.v, "t", s.err)
 
+
+
+def _letters(n: Column) -> Column:
+    """Column letters of a number up to 18278."""
+    n = F.floor(n) - 1
+    last = F.char(65 + n % 26)
+    middle = F.when(n >= 26, F.char(65 + (F.floor(n / 26) - 1) % 26)).otherwise("")
+    first = F.when(n >= 702, F.char(65 + (F.floor((F.floor(n / 26) - 1) / 26) - 1) % 26)).otherwise("")
+    return F.concat(first, middle, last)
+
+
+@fn("ADDRESS", "nnnbt", "t", defaults=(1.0, True, ""))
+def _(row, column, kind, a1, sheet):
+    """kind: 1 both parts fixed, 2 the row, 3 the column, 4 none."""
+    whole = lambda n: F.floor(n).cast("long").cast("string")
+    dollar = lambda fixed: F.when(kind.isin(*fixed), "$").otherwise("")
+    a = F.concat(dollar((1.0, 3.0)), _letters(column), dollar((1.0, 2.0)), whole(row))
+    part = lambda letter, n, fixed: F.concat(F.lit(letter), F.when(kind.isin(*fixed), whole(n)).otherwise(F.concat(F.lit("["), whole(n), F.lit("]"))))
+    r1c1 = F.concat(part("R", row, (1.0, 2.0)), part("C", column, (1.0, 3.0)))
+    plain = sheet.rlike(r"^[A-Za-z_][A-Za-z0-9_.]*$")
+    prefix = F.when(sheet == "", "").when(plain, F.concat(sheet, F.lit("!"))).otherwise(F.concat(F.lit("'"), F.replace(sheet, F.lit("'"), F.lit("''")), F.lit("'!")))
+    bad = (row < 1) | (column < 1) | (row > 1048576) | (column > 16384) | ~F.floor(kind).isin(1, 2, 3, 4)
+    return F.concat(prefix, F.when(a1, a).otherwise(r1c1)), when_bad(bad, VALUE)

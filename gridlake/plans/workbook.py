@@ -7,15 +7,25 @@ every edit keeps the version before it for undo.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..compiler import add_columns
-from ..parser import parse, references
+from ..parser import FormulaError, parse, references
+from ..relations import copied_down, spill
+
+
+#: What to do with a formula that can't be read: refuse it, put an error in its cells, or keep it as text.
+POLICIES = ("strict", "error", "text")
 
 
 class Workbook:
-    def __init__(self):
+    def __init__(self, malformed: str = "strict"):
+        if malformed not in POLICIES:
+            raise ValueError(f"malformed must be one of {POLICIES}")
+        self.malformed = malformed
+        self.places: dict[str, list[str]] = {}
         self.tables: dict[str, DataFrame] = {}
         self.formulas: dict[str, dict[str, str]] = {}
         self.functions: dict[str, object] = {}
@@ -26,13 +36,20 @@ class Workbook:
         self.past.append((dict(self.tables), {k: dict(v) for k, v in self.formulas.items()}))
         self.future.clear()
 
-    def add_table(self, name: str, df: DataFrame) -> None:
+    def add_table(self, name: str, df: DataFrame, order: list[str] | None = None) -> None:
+        """``order``: the columns that stand for the rows' places, by default the first."""
         self._keep()
         self.tables[name] = df
+        self.places[name] = list(order if order is not None else df.columns[:1])
         self.formulas.setdefault(name, {})
 
     def set_formula(self, table: str, column: str, formula: str) -> None:
-        parse(formula)
+        try:
+            parse(formula)
+        except FormulaError:
+            if self.malformed == "strict":
+                raise
+            formula = "=NA()" if self.malformed == "error" else '="' + formula.replace('"', '""') + '"'
         self._keep()
         self.formulas[table][column] = formula
 
@@ -44,6 +61,56 @@ class Workbook:
         out = base.join(new, base[key] == new["__k"], "left").withColumns({c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in names})
         self.tables[table] = out.select(*base.columns)
 
+    def remove_table(self, name: str) -> None:
+        self._keep()
+        self.tables.pop(name)
+        self.formulas.pop(name, None)
+
+    def rename_table(self, old: str, new: str) -> None:
+        """The table under a new name; formulas that name it follow."""
+        self._keep()
+        self.tables[new], self.formulas[new], self.places[new] = self.tables.pop(old), self.formulas.pop(old), self.places.pop(old)
+        swap = re.compile(rf"(?<![\w.]){re.escape(old)}(?=\[)", re.I)
+        for columns in self.formulas.values():
+            for c, f in columns.items():
+                # texts in quotes stay as they are
+                columns[c] = "".join(p if k % 2 else swap.sub(new, p) for k, p in enumerate(re.split(r'("(?:[^"]|"")*")', f)))
+
+    def copy_table(self, name: str, new: str) -> None:
+        self._keep()
+        self.tables[new], self.formulas[new], self.places[new] = self.tables[name], dict(self.formulas[name]), list(self.places[name])
+
+    def insert_rows(self, table: str, rows: DataFrame) -> None:
+        self._keep()
+        self.tables[table] = self.tables[table].unionByName(rows, allowMissingColumns=True)
+
+    def delete_rows(self, table: str, key: str, gone: DataFrame) -> None:
+        """Rows whose key is among ``gone``'s go."""
+        self._keep()
+        base = self.tables[table]
+        self.tables[table] = base.join(gone.select(F.col(key).alias("__k")), base[key] == F.col("__k"), "left_anti")
+
+    def delete_column(self, table: str, column: str) -> None:
+        """Without the column; formulas that read it give #REF!, as their reference is gone."""
+        self._keep()
+        self.tables[table] = self.tables[table].drop(column)
+        self.formulas[table].pop(column, None)
+
+    def _known(self) -> dict[str, tuple[DataFrame, list[str]]]:
+        return {n: (df, self.places[n]) for n, df in self.tables.items()}
+
+    def spill(self, formula: str) -> DataFrame:
+        """The rows of a formula that is an array."""
+        return spill(next(iter(self.tables.values())).sparkSession, formula, self._known(), self.functions)
+
+    def changes(self, table: str, key: str, before: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+        """Cells that differ from a former result: key, column, old and new text."""
+        now = self.evaluate(table, wanted)
+        names = [c for c in now.columns if c != key and c in before.columns]
+        old = before.select(F.col(key).alias("__k"), *[F.col(c).cast("string").alias(f"__{c}") for c in names])
+        both = now.join(old, now[key].eqNullSafe(old["__k"]), "full").select(F.coalesce(now[key], old["__k"]).alias(key), *[F.struct(F.lit(c).alias("column"), F.col(f"__{c}").alias("old"), F.col(c).cast("string").alias("new")).alias(f"s_{c}") for c in names])
+        return both.select(key, F.inline(F.filter(F.array(*[f"s_{c}" for c in names]), lambda x: ~x["old"].eqNullSafe(x["new"]))))
+
     def register(self, name: str, f) -> None:
         """A custom function: takes and returns Vals."""
         self.functions[name.lower()] = f
@@ -73,13 +140,54 @@ class Workbook:
             done |= set(ready)
         return out, need - done
 
-    def evaluate(self, table: str, wanted: list[str] | None = None) -> DataFrame:
-        """The table with its formula columns, or with those wanted; columns in a cycle are null."""
+    def evaluate(self, table: str, wanted: list[str] | None = None, errors: bool = False, iterations: int = 0, tolerance: float = 1e-3) -> DataFrame:
+        """The table with its formula columns, or with those wanted.
+
+        Columns in a cycle are #CIRC! (null), or with ``iterations`` are computed over and over from 0
+        until none changes by more than ``tolerance``.
+        """
         df = self.tables[table]
         layers, cyclic = self.layers(table, wanted)
+        known = self._known()
         for layer in layers:
-            df = add_columns(df, {c: self.formulas[table][c] for c in layer}, self.functions)
-        return df.withColumns({c: F.lit(None).cast("double") for c in sorted(cyclic)}) if cyclic else df
+            known[table] = (df, self.places[table])
+            df = copied_down(df, {c: self.formulas[table][c] for c in layer}, known, self.places[table], errors, self.functions)
+        if not cyclic:
+            return df
+        names = sorted(cyclic)
+        if not iterations:
+            df = df.withColumns({c: F.lit(None).cast("double") for c in names})
+            return df.withColumns({f"{c}__error": F.lit("#CIRC!") for c in names}) if errors else df
+        return self._iterated(df, table, names, iterations, tolerance)
+
+    def _iterated(self, df: DataFrame, table: str, names: list[str], iterations: int, tolerance: float) -> DataFrame:
+        """Each round is one projection that takes the columns in turn; the plan is cut every ten rounds."""
+        df = df.withColumns({c: F.lit(0.0) for c in names})
+        for k in range(iterations):
+            was = {c: f"__was_{i}" for i, c in enumerate(names)}
+            df = df.withColumns({w: F.col(c) for c, w in was.items()})
+            for c in names:
+                known = self._known() | {table: (df, self.places[table])}
+                df = copied_down(df, {c: self.formulas[table][c]}, known, self.places[table], False, self.functions)
+                df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+            if k % 10 == 9 or k == iterations - 1:
+                df = cut(df)
+                worst = df.agg(*[F.max(F.abs(F.col(c) - F.col(w))).alias(c) for c, w in was.items()]).first()
+                if all(x is None or x <= tolerance for x in worst):
+                    return df.drop(*was.values())
+            df = df.drop(*was.values())
+        return df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder and read again, where the session has one."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def scenarios(rows: DataFrame, model: dict[str, str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import function_queries
+from . import function_queries, relation_queries
 from .compiler import add_columns
 from .operators import aggregates as ag
 from .operators import arrays as ar
@@ -13,8 +13,8 @@ from .operators import lookups as lk
 from .operators import windows as wi
 from .streaming import events as ev
 
-QUERIES: dict = dict(function_queries.QUERIES)
-SQL: dict[str, str] = dict(function_queries.SQL)
+QUERIES: dict = function_queries.QUERIES | relation_queries.QUERIES
+SQL: dict[str, str] = function_queries.SQL | relation_queries.SQL
 
 
 def query(sql: str | None = None):
