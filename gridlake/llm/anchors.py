@@ -36,6 +36,7 @@ INVERSE = pow(BASE, -1, 2**64)
 
 #: Segments are counted in 2**CELL_BITS cells of anchors. A cell is crowded if it has over CROWD
 #: segments and over 1 / MOST_CROWDS of all, so at most MOST_CROWDS cells are, which tasks are told of.
+#: Each task tells of the cells that hold over half that share of its own segments.
 CELL_BITS = 22
 CROWD = 20_000
 MOST_CROWDS = 1 << 18
@@ -157,15 +158,22 @@ class Sender:
             if self.size >= self.chunk:
                 yield from self.flush()
 
+    def _joined(self):
+        """The values, pieces and pieces' ends of what is held, which is then let go."""
+        lengths = np.array([len(v) for _, _, v, _ in self.held])
+        piece = np.repeat(np.arange(len(self.held)), lengths)
+        values = np.concatenate([h[2] for h in self.held])
+        self.last, self.held, self.size = self.held, [], 0
+        return values, piece, np.cumsum(lengths) - lengths
+
     def flush(self):
         if not self.held:
             return
-        lengths = np.array([len(v) for _, _, v, _ in self.held])
-        piece = np.repeat(np.arange(len(self.held)), lengths)
-        values, symbols = (np.concatenate([h[i] for h in self.held]) for i in (2, 3))
-        offset = np.array([lo for _, lo, _, _ in self.held]) - (np.cumsum(lengths) - lengths)
-        docs = np.array([d for d, _, _, _ in self.held], np.int64)
-        self.held, self.size = [], 0
+        values, piece, ends = self._joined()
+        held, self.last = self.last, []
+        symbols = np.concatenate([h[3] for h in held])
+        offset = np.array([lo for _, lo, _, _ in held]) - ends
+        docs = np.array([d for d, _, _, _ in held], np.int64)
         start, count, anchor, key, roll = cut(values, piece, self.window, self.k, self.crowded)
         if not len(start):
             return
@@ -214,15 +222,21 @@ class Tally(Sender):
         super().__init__(window, k, Plan(1, np.empty(0, np.int64)), first_only, chunk)
         self.n, self.symbols = np.zeros(1 << CELL_BITS, np.int64), 0
 
-    def _blobs(self, send, shard, anchor, doc, place, count, flag, start, symbols, span, check):
-        at, n = np.unique(cells(anchor[send]), return_counts=True)
-        self.n[at] += n
-        self.symbols += int((count[send] + self.window - 1).sum())
+    def flush(self):
+        if self.held:
+            values, piece, _ = self._joined()
+            _, count, anchor, key, _ = cut(values, piece, self.window, self.k)
+            _, once = np.unique(key, return_index=True)
+            at, n = np.unique(cells(anchor[once]), return_counts=True)
+            self.n[at] += n
+            self.symbols += int((count[once] + self.window - 1).sum())
         return iter(())
 
     def total(self) -> pa.RecordBatch:
-        at = np.flatnonzero(self.n)
-        return pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([self.symbols, *self.n[at]], pa.int64())], ["cell", "n"])
+        # a cell with over 1 / MOST_CROWDS of all segments has half that share in the tasks that tell of it
+        at = np.flatnonzero(self.n > self.n.sum() // (2 * MOST_CROWDS))
+        cells = np.concatenate([[-2, -1], at])
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.concatenate([[self.n.sum(), self.symbols], self.n[at]]))], ["cell", "n"])
 
 
 def plan(texts: DataFrame, scratch: Scratch, read, window: int, k: int, first_only: bool, chunk: int, shard_symbols: int) -> Plan:
@@ -238,7 +252,7 @@ def plan(texts: DataFrame, scratch: Scratch, read, window: int, k: int, first_on
         yield tally.total()
 
     counts = scratch.save(texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "anchors")
-    symbols, segments = counts.agg(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.sum(F.when(F.col("cell") >= 0, F.col("n")))).first()
+    segments, symbols = counts.agg(*[F.sum(F.when(F.col("cell") == c, F.col("n"))) for c in (-2, -1)]).first()
     many = counts.where((F.col("cell") >= 0) & (F.col("n") > max(CROWD, (segments or 0) // MOST_CROWDS))).select("cell")
     crowded = np.array(sorted(r.cell for r in many.collect()), np.int64)
     scratch.drop(counts)

@@ -10,12 +10,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,21 +85,79 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for words seen before (up to a bound)."""
+#: Random 64-bit values for each byte at each of 64 places in a word.
+PLACES = 64
+_BYTES = np.random.default_rng(23).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes of text that are hashed at once.
+HASH_BYTES = 1 << 21
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: str | bytes) -> int:
-        import xxhash
+def _word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in adjacent texts, and the number of words before each text and in all.
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str] | list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    A word's hash is the sum of its bytes' values at their places, mixed with its length.
+    """
+    inside = (b != 32) & ((b < 9) | (b > 13))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(b)]
+    first[heads] = inside[heads]
+    at = np.flatnonzero(inside)
+    start = np.flatnonzero(first)
+    before = np.searchsorted(start, offsets)
+    if not len(start):
+        return np.empty(0, np.uint64), before
+    word = np.searchsorted(at, start)
+    length = np.diff(word, append=len(at))
+    place = np.arange(len(at)) - np.repeat(word, length)
+    cell = ((place & (PLACES - 1)) << 8) | b[at]
+    value = _BYTES[cell]
+    if length.max() > PLACES:
+        value = value * (2 * mix64((place // PLACES).astype(np.uint64)) + np.uint64(1))
+    return mix64(np.add.reduceat(value, word) ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), before
+
+
+def hashed_words(texts: pa.Array, lower: bool = False):
+    """The hashes of the words of each text of a column, in order; null has none. ``lower``: A-Z count as a-z."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if offsets[-1] else np.empty(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + HASH_BYTES, side="right")) - 1)
+        raw = data[offsets[lo] : offsets[hi]]
+        if len(raw) <= HASH_BYTES:
+            h, before = _word_hashes(_LOWER[raw] if lower else raw, offsets[lo : hi + 1] - offsets[lo])
+            for x, y in zip(before[:-1].tolist(), before[1:].tolist()):
+                yield h[x:y]
+        else:  # one long text, in pieces that end between words
+            parts, at = [], 0
+            while at < len(raw):
+                end = min(len(raw), at + HASH_BYTES)
+                while end < len(raw) and not _blank(raw[end - 1]):
+                    ahead = raw[end : end + HASH_BYTES]
+                    gap = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+                    end += int(gap[0]) + 1 if len(gap) else len(ahead)
+                piece = raw[at:end]
+                parts.append(_word_hashes(_LOWER[piece] if lower else piece, np.array([0, len(piece)]))[0])
+                at = end
+            yield np.concatenate(parts)
+        lo = hi
+
+
+def _blank(c) -> bool:
+    return c == 32 or 9 <= c <= 13
+
+
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8: split() cuts bytes at ASCII white space alone."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:

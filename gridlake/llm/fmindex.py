@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Plan, Sender, Shard, by_shard, plan, union
-from .common import WORD_RE, Scratch, WordHashes, parts
+from .common import Scratch, byte_words, hashed_words, parts
 
 WINDOW = 20
 ANCHOR = 5
@@ -156,10 +156,8 @@ def _judge(window: int):
 
 
 def _read(batches):
-    hashes = WordHashes()
     for b in batches:
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            h = hashes.of(WORD_RE.findall(text or ""))
+        for doc, h in zip(b.column("doc_id").to_pylist(), hashed_words(b.column("text"))):
             yield doc, h, ((h >> np.uint64(33)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
 
@@ -182,22 +180,20 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
     return met.mapInArrow(by_shard(_judge(window), window), "doc_id long, spans binary")
 
 
-def _finish(keep_text: bool):
+def _finish():
     def run(batches):
         for b in batches:
             rows = []
             for doc, text, blobs in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("blobs").to_pylist()):
-                words = WORD_RE.findall(text or "")
-                spans = union(blobs)
-                kept, at = [], 0
-                for lo, hi in spans.tolist():
+                words, kept = byte_words(text), []
+                at = 0
+                for lo, hi in union(blobs).tolist():
                     kept += words[at:lo]
                     at = hi
                 kept += words[at:]
-                joined = " ".join(kept)
-                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest(), joined if keep_text and len(kept) < len(words) else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
@@ -214,7 +210,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     lists = _with_spans(spark, docs, window)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = texts.join(lists, F.col("doc_id") == F.col("__d"), "left").select("doc_id", "text", "blobs")
-    return out.mapInArrow(_finish(False), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").drop("kept_text")
+    return out.mapInArrow(_finish(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -230,11 +226,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
                 for text, blobs in zip(b.column("text").to_pylist(), b.column("__blobs").to_pylist()):
                     spans = union(blobs)
                     if len(spans):
-                        words, kept, at = WORD_RE.findall(text or ""), [], 0
+                        words, kept, at = byte_words(text), [], 0
                         for lo, hi in spans.tolist():
                             kept += words[at:lo]
                             at = hi
-                        text = " ".join(kept + words[at:])
+                        text = b" ".join(kept + words[at:]).decode("utf-8", "surrogatepass")
                     out.append(text)
                 cols["text"] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names)

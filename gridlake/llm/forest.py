@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, WordHashes, components, groups, mix64, parts, window_hash
+from .common import Forest, Scratch, components, groups, hashed_words, mix64, parts, window_hash
 
 SHINGLE = 5
 THRESHOLD = (85, 100)
@@ -89,13 +89,10 @@ def _seeds(n: int) -> np.ndarray:
     return np.random.default_rng(7).integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the document's set."""
-    # on bytes, lower() changes A-Z alone and split() cuts at ASCII white space alone
-    h = hashes.of((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not len(h):
-        return h
-    return np.unique(window_hash(h, min(SHINGLE, len(h))) ^ np.uint64(min(SHINGLE, len(h))))
+def shingle_sets(texts: pa.Array):
+    """Sorted distinct 64-bit hashes of each text's set."""
+    for h in hashed_words(texts, lower=True):
+        yield np.unique(window_hash(h, min(SHINGLE, len(h))) ^ np.uint64(min(SHINGLE, len(h)))) if len(h) else h
 
 
 def minhash(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -111,11 +108,10 @@ def minhash(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def _sketch(plan: Plan):
     def run(batches):
-        hashes, seeds = WordHashes(), _seeds(plan.trees * plan.depths[-1])
+        seeds = _seeds(plan.trees * plan.depths[-1])
         for b in batches:
             cols: list[list] = [[] for _ in range(4 + len(plan.depths))]
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                s = shingles(text, hashes)
+            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"))):
                 row = [doc, len(s), None, None] + [None] * len(plan.depths)
                 if len(s):
                     m = mix64(minhash(s, seeds)).reshape(plan.trees, plan.depths[-1])
@@ -208,11 +204,10 @@ def _candidates(plan: Plan):
 
 def _sets(batches):
     """Each document's set once for each block it belongs to."""
-    hashes = WordHashes()
     for b in batches:
         block, doc, sets = [], [], []
-        for d, text, blocks in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("blocks").to_pylist()):
-            s = shingles(text, hashes).tobytes()
+        for d, s, blocks in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text")), b.column("blocks").to_pylist()):
+            s = s.tobytes()
             for x in blocks:
                 block.append(x)
                 doc.append(d)
@@ -270,12 +265,11 @@ def _verify(num: int, den: int):
 
 
 def _whole_sets(batches):
-    hashes = WordHashes()
     for b in batches:
         docs, sets, held = [], [], 0
-        for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        for d, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"))):
             docs.append(d)
-            sets.append(shingles(text, hashes).tobytes())
+            sets.append(s.tobytes())
             held += len(sets[-1])
             if held > 32_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "s"])
@@ -397,7 +391,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
 
 
 def _set_digest(text: str | None) -> bytes:
-    return hashlib.blake2b(shingles(text, WordHashes()).tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(next(shingle_sets(pa.array([text], pa.string()))).tobytes(), digest_size=16).digest()
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
