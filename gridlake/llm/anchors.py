@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups, mix64, sliding_min
+from .common import Scratch, groups, mix64, sliding_min, trim
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
@@ -250,6 +250,7 @@ def plan(texts: DataFrame, scratch: Scratch, read, window: int, k: int, first_on
         for _ in tally.flush():
             pass
         yield tally.total()
+        trim()
 
     counts = scratch.save(texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "anchors")
     segments, symbols = counts.agg(*[F.sum(F.when(F.col("cell") == c, F.col("n"))) for c in (-2, -1)]).first()
@@ -329,6 +330,7 @@ def by_shard(judge, window: int = 0):
             doc, lo, hi = (np.concatenate(p) for p in zip(judge(shard), shard.spans))
             if len(doc):
                 yield spans_of(doc, lo, hi)
+        trim()
 
     return run
 

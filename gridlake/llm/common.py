@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -49,7 +50,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # small row groups: a writer holds one, and a task may write beside Python workers
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -74,6 +76,15 @@ class Scratch:
             return
 
 
+def trim() -> None:
+    """Give free memory back to the system: workers wait for their next task with what they once held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,7 +102,7 @@ _BYTES = np.random.default_rng(23).integers(0, 2**64, PLACES * 256, dtype=np.uin
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that are hashed at once.
-HASH_BYTES = 1 << 21
+HASH_BYTES = 1 << 18
 
 
 def _word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

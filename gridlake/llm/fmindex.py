@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Plan, Sender, Shard, by_shard, plan, union
-from .common import Scratch, byte_words, hashed_words, parts
+from .common import Scratch, byte_words, hashed_words, parts, trim
 
 WINDOW = 20
 ANCHOR = 5
@@ -167,6 +167,7 @@ def _send(window: int, anchor: int, how: Plan):
         for row in _read(batches):
             yield from sender.add(*row)
         yield from sender.flush()
+        trim()
 
     return run
 

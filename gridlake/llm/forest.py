@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, groups, hashed_words, mix64, parts, window_hash
+from .common import Forest, Scratch, components, groups, hashed_words, mix64, parts, trim, window_hash
 
 SHINGLE = 5
 THRESHOLD = (85, 100)
@@ -129,6 +129,7 @@ def _sketch(plan: Plan):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()] + [pa.list_(pa.int64())] * len(plan.depths)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "digest", "sketch", *[f"p{d}" for d in plan.depths]])
+        trim()
 
     return run
 
@@ -260,6 +261,7 @@ def _verify(num: int, den: int):
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        trim()
 
     return run
 
