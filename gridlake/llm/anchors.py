@@ -15,7 +15,8 @@ Anchors that many segments have in common would fill a shard. A first pass count
 all anchors in 2**CELL_BITS cells (``plan``), and windows then take an anchor in a crowded cell only
 if they hold no other; such a window is a segment by itself whose anchor is its own hash. Any choice
 that looks at a window's content alone brings equal windows together, so results don't depend on
-the counts. The number of shards follows from the symbols that the first pass counted.
+the counts. There are several shards for each shuffle partition, and more if the symbols that the
+first pass counted would overfill them; a task unpacks a shard in parts of about PART_BYTES, by anchor.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ INVERSE = pow(BASE, -1, 2**64)
 #: Each task tells of the cells that hold over half that share of its own segments.
 CELL_BITS = 22
 CROWD = 20_000
+SHARD_SYMBOLS = 64_000_000
+PART_BYTES = 16_000_000
 MOST_CROWDS = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
@@ -119,9 +122,11 @@ def cut(values: np.ndarray, piece: np.ndarray, window: int, k: int, crowded: np.
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, ..., start + length - 1 of every pair, end to end."""
     total = int(lengths.sum())
+    if not total:
+        return np.empty(0, np.int64)
     out = np.ones(total, np.int64)
     ends = np.cumsum(lengths)
-    out[0] = starts[0] if total else 0
+    out[0] = starts[0]
     out[ends[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
     return np.cumsum(out)
 
@@ -239,7 +244,7 @@ class Tally(Sender):
         return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.concatenate([[self.n.sum(), self.symbols], self.n[at]]))], ["cell", "n"])
 
 
-def plan(texts: DataFrame, scratch: Scratch, read, window: int, k: int, first_only: bool, chunk: int, shard_symbols: int) -> Plan:
+def plan(texts: DataFrame, scratch: Scratch, read, window: int, k: int, first_only: bool, chunk: int, least_shards: int) -> Plan:
     """What the pass over all ``texts`` shows; ``read`` gives (doc, values, symbols) of Arrow batches."""
 
     def count(batches):
@@ -257,14 +262,14 @@ def plan(texts: DataFrame, scratch: Scratch, read, window: int, k: int, first_on
     many = counts.where((F.col("cell") >= 0) & (F.col("n") > max(CROWD, (segments or 0) // MOST_CROWDS))).select("cell")
     crowded = np.array(sorted(r.cell for r in many.collect()), np.int64)
     scratch.drop(counts)
-    return Plan(max(1, -(-(symbols or 0) // shard_symbols)), crowded)
+    return Plan(max(least_shards, -(-(symbols or 0) // SHARD_SYMBOLS)), crowded)
 
 
 class Shard:
     """What a shard received: segments whose anchor came more than once, and settled spans."""
 
-    def __init__(self, blobs: list[bytes], window: int = 0):
-        """With ``window``, the blobs hold checks of windows of that length."""
+    def __init__(self, blobs: list[bytes], window: int = 0, part: int = 0, parts: int = 1):
+        """The segments whose anchor falls to ``part``. With ``window``, the blobs hold checks of windows of that length."""
         unpack = zstandard.ZstdDecompressor().decompress
         cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         spans: list[list[np.ndarray]] = [[] for _ in range(3)]
@@ -272,13 +277,25 @@ class Shard:
             raw = unpack(b)
             n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
             kinds = (np.uint32, np.int64, np.int64, np.int32, np.bool_) if n > 0 else (np.int64,) * 3
-            for kind, into in zip(kinds, cols if n > 0 else spans):
-                into.append(np.frombuffer(raw, kind, abs(n), at))
+            got = []
+            for kind in kinds:
+                got.append(np.frombuffer(raw, kind, abs(n), at))
                 at += abs(n) * np.dtype(kind).itemsize
-            if n > 0:
-                size = int(cols[3][-1].sum(dtype=np.int64))
-                cols[5].append(np.frombuffer(raw, np.uint8, size, at))
-                cols[6].append(np.frombuffer(raw, np.uint32, -1 if window else 0, at + size if window else 0))
+            if n < 0:
+                if not part:
+                    for x, into in zip(got, spans):
+                        into.append(x)
+                continue
+            length = got[3].astype(np.int64)
+            size = int(length.sum())
+            got += [np.frombuffer(raw, np.uint8, size, at), np.frombuffer(raw, np.uint32, -1 if window else 0, at + size if window else 0)]
+            if parts > 1:
+                mine = np.flatnonzero(got[0] % np.uint32(parts) == part)
+                held, count = ragged((np.cumsum(length) - length)[mine], length[mine]), length - window + 1
+                checks = got[6][ragged((np.cumsum(count) - count)[mine], count[mine])] if window else got[6]
+                got = [x[mine] for x in got[:5]] + [got[5][held], checks]
+            for x, into in zip(got, cols):
+                into.append(x)
         join = lambda c, kind: np.concatenate(c) if c else np.empty(0, kind)
         self.spans = tuple(join(c, np.int64) for c in spans)
         anchor, doc, place, length, flag = (join(c, k) for c, k in zip(cols, (np.uint32, np.int64, np.int64, np.int32, bool)))
@@ -326,10 +343,13 @@ def by_shard(judge, window: int = 0):
 
     def run(batches):
         for _, t in groups(batches, "shard"):
-            shard = Shard(t.column("blob").to_pylist(), window)
-            doc, lo, hi = (np.concatenate(p) for p in zip(judge(shard), shard.spans))
-            if len(doc):
-                yield spans_of(doc, lo, hi)
+            blobs = t.column("blob").to_pylist()
+            parts = -(-sum(map(zstandard.frame_content_size, blobs)) // PART_BYTES)
+            for part in range(parts):
+                shard = Shard(blobs, window, part, parts)
+                doc, lo, hi = (np.concatenate(p) for p in zip(judge(shard), shard.spans))
+                if len(doc):
+                    yield spans_of(doc, lo, hi)
         trim()
 
     return run

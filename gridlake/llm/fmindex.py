@@ -35,8 +35,7 @@ from .common import Scratch, byte_words, hashed_words, parts, trim
 WINDOW = 20
 ANCHOR = 5
 CHUNK = 1_000_000
-#: Symbols of one shard, on average.
-SHARD_SYMBOLS = 400_000
+SHARDS_PER_PARTITION = 4
 
 
 class Bits:
@@ -175,7 +174,7 @@ def _send(window: int, anchor: int, how: Plan):
 def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, spans): the word spans to remove, a list of int64 pairs as bytes from each shard."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    how = plan(texts, scratch, _read, window, anchor, True, CHUNK, SHARD_SYMBOLS)
+    how = plan(texts, scratch, _read, window, anchor, True, CHUNK, parts(spark) * SHARDS_PER_PARTITION)
     sent = texts.mapInArrow(_send(window, anchor, how), "shard int, blob binary")
     met = sent.repartition(parts(spark), "shard").sortWithinPartitions("shard")
     return met.mapInArrow(by_shard(_judge(window), window), "doc_id long, spans binary")

@@ -31,8 +31,7 @@ WINDOW = 400
 ANCHOR = 64
 Q = 8
 CHUNK = 1_000_000
-#: Bytes of one shard, on average.
-SHARD_SYMBOLS = 400_000
+SHARDS_PER_PARTITION = 16
 
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -107,7 +106,7 @@ def _send(window: int, anchor: int, how: Plan):
 def repeated_byte_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, spans): the byte spans to remove, a list of int64 pairs as bytes from each shard."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).where("doc_id is not null")
-    how = plan(texts, scratch, _read, window, anchor, False, CHUNK, SHARD_SYMBOLS)
+    how = plan(texts, scratch, _read, window, anchor, False, CHUNK, parts(spark) * SHARDS_PER_PARTITION)
     sent = texts.mapInArrow(_send(window, anchor, how), "shard int, blob binary")
     met = sent.repartition(parts(spark), "shard").sortWithinPartitions("shard")
     return met.mapInArrow(by_shard(_judge(window)), "doc_id long, spans binary")

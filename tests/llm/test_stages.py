@@ -241,11 +241,35 @@ def test_crowded_anchors(spark, monkeypatch):
     kept = without_windows([t for _, t in rows])
     assert [r[3] for r in usual] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
     monkeypatch.setattr(anchors, "CROWD", 3)
-    how = anchors.plan(docs, anchors.Scratch(spark, "t"), fmindex._read, 20, 5, True, 1000, 1000)
-    assert len(how.crowded) and how.shards > 1
+    how = anchors.plan(docs, anchors.Scratch(spark, "t"), fmindex._read, 20, 5, True, 1000, 1)
+    assert len(how.crowded) and how.shards == 1
     assert sorted(map(tuple, fmindex.repeated_words(spark, docs).collect())) == usual
 
 
+def test_shards_in_parts():
+    from gridlake.llm import anchors
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(0, 300, 300).astype(np.uint64) * np.uint64(977)) for i in range(40)]
+    rows += [(100 + i, np.concatenate([v[20:90], rows[i - 1][1][150:200]])) for i, v in rows[::3]]
+    sender, blobs = anchors.Sender(20, 5, anchors.Plan(1, np.empty(0, np.int64)), True, 2000, checks=True), []
+    for i, v in rows:
+        for b in sender.add(i, v, (v % 255 + 1).astype(np.uint8)):
+            blobs += b.column("blob").to_pylist()
+    for b in sender.flush():
+        blobs += b.column("blob").to_pylist()
+
+    def removed(parts):
+        out = set()
+        for part in range(parts):
+            shard = anchors.Shard(blobs, 20, part, parts)
+            for cols in (fmindex._judge(20)(shard), shard.spans):
+                out |= set(zip(*(c.tolist() for c in cols)))
+        return out
+
+    assert removed(1) and removed(1) == removed(7)
+
+
 def test_lattice_components_and_squares(spark, monkeypatch):
     rng = np.random.default_rng(9)
     tight = rng.standard_normal((1, 24)) + 0.05 * rng.standard_normal((150, 24))
