@@ -57,8 +57,8 @@ class Workbook:
         """Cells of ``changes`` (key and some columns) replace those of equal key."""
         self._keep()
         base, names = self.tables[table], [c for c in changes.columns if c != key]
-        new = changes.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__hit"))
-        out = base.join(new, base[key] == new["__k"], "left").withColumns({c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in names})
+        new = changes.select(F.col(key).alias("__row_key"), *[F.col(c).alias(f"__new_{c}") for c in names], F.lit(True).alias("__row_hit"))
+        out = base.join(new, base[key] == new["__row_key"], "left").withColumns({c: F.when(F.col("__row_hit"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in names})
         self.tables[table] = out.select(*base.columns)
 
     def remove_table(self, name: str) -> None:
@@ -88,7 +88,7 @@ class Workbook:
         """Rows whose key is among ``gone``'s go."""
         self._keep()
         base = self.tables[table]
-        self.tables[table] = base.join(gone.select(F.col(key).alias("__k")), base[key] == F.col("__k"), "left_anti")
+        self.tables[table] = base.join(gone.select(F.col(key).alias("__row_key")), base[key] == F.col("__row_key"), "left_anti")
 
     def delete_column(self, table: str, column: str) -> None:
         """Without the column; formulas that read it give #REF!, as their reference is gone."""
@@ -107,8 +107,8 @@ class Workbook:
         """Cells that differ from a former result: key, column, old and new text."""
         now = self.evaluate(table, wanted)
         names = [c for c in now.columns if c != key and c in before.columns]
-        old = before.select(F.col(key).alias("__k"), *[F.col(c).cast("string").alias(f"__{c}") for c in names])
-        both = now.join(old, now[key].eqNullSafe(old["__k"]), "full").select(F.coalesce(now[key], old["__k"]).alias(key), *[F.struct(F.lit(c).alias("column"), F.col(f"__{c}").alias("old"), F.col(c).cast("string").alias("new")).alias(f"s_{c}") for c in names])
+        old = before.select(F.col(key).alias("__row_key"), *[F.col(c).cast("string").alias(f"__new_{c}") for c in names])
+        both = now.join(old, now[key].eqNullSafe(old["__row_key"]), "full").select(F.coalesce(now[key], old["__row_key"]).alias(key), *[F.struct(F.lit(c).alias("column"), F.col(f"__new_{c}").alias("old"), F.col(c).cast("string").alias("new")).alias(f"s_{c}") for c in names])
         return both.select(key, F.inline(F.filter(F.array(*[f"s_{c}" for c in names]), lambda x: ~x["old"].eqNullSafe(x["new"]))))
 
     def register(self, name: str, f) -> None:

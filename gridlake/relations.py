@@ -313,6 +313,14 @@ def numbers(sheet: Sheet, args: list[Node], texts: bool = False) -> DataFrame:
         if sheet.depends(a):
             raise Unsupported
         x = sheet.arg(a)
+        if isinstance(x, Arr):  # cell by cell, as their kinds may differ
+            cells = [c for r in x.rows for c in r]
+            number = lambda c: to_num(c).v if c.kind in ("n", "d") else (c.v.cast("double") if c.kind == "b" else F.lit(0.0)) if texts and c.kind != "z" else F.lit(None).cast("double")
+            err = lambda c: F.lit(None).cast("string") if c.err is None else c.err
+            empty = lambda c: F.lit(True) if c.kind == "z" else F.lit(False) if c.err is not None else c.v.isNull() | (c.v.cast("string") == "")
+            rows = F.array(*[F.struct(F.when(err(c).isNull(), number(c)).alias("v"), err(c).alias("e"), F.lit(1).alias("cell"), empty(c).alias("blank")) for c in cells])
+            parts.append(sheet.attach(sheet.spark.range(1), *[c.v for c in cells], *[c.err for c in cells]).select(F.inline(rows)))
+            continue
         alone = isinstance(x, Val)
         r = sheet.rel_of(x)
         for c in r.cols:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import io
 import json
 import re
 import zipfile
@@ -11,14 +13,16 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..values import ERRORS
+
 MAX_ROWS, MAX_COLUMNS = 1_048_576, 16_384
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, infer: bool = True, trim: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, infer: bool = True, trim: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """Columns become numbers or booleans where every non-empty cell is one; else they stay text."""
-    df = spark.read.option("sep", delimiter).option("header", header).option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).csv(path)
+    df = spark.read.option("sep", delimiter).option("header", header).option("encoding", encoding).option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).csv(path)
     if not infer or not df.columns:
         return df
     q = [f"`{c}`" for c in df.columns]
@@ -71,7 +75,7 @@ def write_json(path: str, sheets: dict[str, dict[tuple[int, int], object]]) -> N
         json.dump(doc, f)
 
 
-def read_xlsx(path: str) -> dict[str, dict[tuple[int, int], object]]:
+def read_xlsx(path) -> dict[str, dict[tuple[int, int], object]]:
     """Cells by sheet: numbers, texts, booleans, and formulas as text with =."""
     with zipfile.ZipFile(path) as z:
         names = set(z.namelist())
@@ -95,12 +99,39 @@ def read_xlsx(path: str) -> dict[str, dict[tuple[int, int], object]]:
                     value = value == "1"
                 elif kind == "n" and value is not None:
                     value = float(value)
+                elif kind == "d" and value is not None:  # an ISO date
+                    value = float((dt.datetime.fromisoformat(value) - dt.datetime(1899, 12, 30)) / dt.timedelta(days=1))
                 cells[int(m[2]), column_number(m[1])] = value
     return out
 
 
-def write_xlsx(path: str, sheets: dict[str, dict[tuple[int, int], object]]) -> None:
-    def sheet(cells) -> str:
+def defined_names(path: str) -> dict[str, str]:
+    """The workbook's defined names with their formulas."""
+    with zipfile.ZipFile(path) as z:
+        found = ET.fromstring(z.read("xl/workbook.xml")).find("m:definedNames", NS)
+    return {} if found is None else {n.get("name"): n.text or "" for n in found}
+
+
+def to_xlsx_bytes(sheets: dict[str, dict[tuple[int, int], object]], values: dict | None = None) -> bytes:
+    out = io.BytesIO()
+    write_xlsx(out, sheets, values)
+    return out.getvalue()
+
+
+def write_xlsx(path, sheets: dict[str, dict[tuple[int, int], object]], values: dict | None = None) -> None:
+    """``path``: a name or a binary file. ``values``: what the formulas gave, kept beside them."""
+
+    def result(name: str, at: tuple[int, int]) -> tuple[str, str]:
+        v = (values or {}).get(name, {}).get(at)
+        if v is None:
+            return "", ""
+        if isinstance(v, bool):
+            return ' t="b"', f"<v>{int(v)}</v>"
+        if isinstance(v, str):
+            return (' t="e"' if v in ERRORS else ' t="str"'), f"<v>{escape(v)}</v>"
+        return "", f"<v>{v!r}</v>"
+
+    def sheet(name, cells) -> str:
         rows: dict[int, list] = {}
         for (i, j), v in sorted(cells.items()):
             if i > MAX_ROWS or j > MAX_COLUMNS:
@@ -113,7 +144,8 @@ def write_xlsx(path: str, sheets: dict[str, dict[tuple[int, int], object]]) -> N
             elif isinstance(v, (int, float)):
                 x = f'<c r="{at}"><v>{v!r}</v></c>'
             elif str(v).startswith("="):
-                x = f'<c r="{at}"><f>{escape(str(v)[1:])}</f></c>'
+                kind, got = result(name, (i, j))
+                x = f'<c r="{at}"{kind}><f>{escape(str(v)[1:])}</f>{got}</c>'
             else:
                 x = f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
             rows.setdefault(i, []).append(x)
@@ -129,8 +161,8 @@ def write_xlsx(path: str, sheets: dict[str, dict[tuple[int, int], object]]) -> N
         z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS["m"]}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(name)} sheetId="{i}" r:id="rId{i}"/>' for i, name in zip(n, sheets)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>")
-        for i, cells in zip(n, sheets.values()):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", sheet(cells))
+        for i, (name, cells) in zip(n, sheets.items()):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", sheet(name, cells))
 
 
 def cells_to_frame(spark: SparkSession, cells: dict[tuple[int, int], object], header: bool = True) -> DataFrame:
