@@ -8,12 +8,13 @@ every edit keeps the version before it for undo.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..parser import FormulaError, parse, references
-from ..relations import copied_down, spill
+from ..relations import Aggregate, copied_down, spill
 
 
 #: What to do with a formula that can't be read: refuse it, put an error in its cells, or keep it as text.
@@ -115,6 +116,35 @@ class Workbook:
         """A custom function: takes and returns Vals."""
         self.functions[name.lower()] = f
 
+    def register_aggregate(self, name: str, build, kind: str = "n") -> None:
+        """A custom aggregate of whole columns: ``build`` makes an aggregate Column of a column of numbers."""
+        self.functions[name.lower()] = Aggregate(build, kind)
+
+    @contextmanager
+    def cancellable(self, group: str):
+        """Jobs that run inside belong to a group, which ``cancel`` stops."""
+        context = next(iter(self.tables.values())).sparkSession.sparkContext
+        context.setJobGroup(group, "workbook", interruptOnCancel=True)
+        try:
+            yield
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    def cancel(self, group: str) -> None:
+        next(iter(self.tables.values())).sparkSession.sparkContext.cancelJobGroup(group)
+
+    @contextmanager
+    def transaction(self):
+        """Edits inside are one step of undo, and none of them stays if an error leaves the block."""
+        depth, state = len(self.past), (dict(self.tables), {k: dict(v) for k, v in self.formulas.items()}, {k: list(v) for k, v in self.places.items()})
+        try:
+            yield self
+        except BaseException:
+            self.tables, self.formulas, self.places = state
+            del self.past[depth:]
+            raise
+        del self.past[depth + 1 :]
+
     def undo(self) -> None:
         self.future.append((self.tables, self.formulas))
         self.tables, self.formulas = self.past.pop()

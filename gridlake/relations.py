@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,6 +56,14 @@ class Unsupported(Exception):
     pass
 
 
+@dataclass
+class Aggregate:
+    """A custom aggregate: from a column of numbers to an aggregate Column, such as a grouped-aggregate pandas UDF."""
+
+    build: Callable[[Column], Column]
+    kind: str = "n"
+
+
 def literal(n: Node):
     """(True, value) of a constant node."""
     if n.op in ("num", "text", "bool"):
@@ -242,6 +251,9 @@ class Sheet(Compiler):
                 return RELATIONAL[n.value](self, n.args)
             except Unsupported:
                 return error("#VALUE!")
+        own = self.names.get(str(n.value).lower())
+        if isinstance(own, Aggregate):
+            return self.one(numbers(self, n.args).agg(own.build(F.col("v")).alias("v")), own.kind)
         f = REGISTRY.get(n.value)
         if f is None or str(n.value).lower() in self.names:
             return super().do_call(n)
@@ -368,6 +380,9 @@ def _reduce(name: str):
     def _(sheet: Sheet, args):
         if all(isinstance(x := sheet.arg(a), Val) for a in args) and plain:
             return plain.build([sheet.arg(a) for a in args])
+        if plain and any(sheet.depends(a) for a in args):  # cells that follow from the row
+            got = [sheet.arg(a) for a in args]
+            return plain.build([c for x in got for c in ([c for r in x.rows for c in r if c.kind in ("n", "d")] if isinstance(x, Arr) else [sheet.scalar(x)])])
         return reduced(sheet, numbers(sheet, args, texts=name.endswith("A") and name not in ("COUNTA",)), REDUCE[name])
 
 
@@ -1557,3 +1572,23 @@ def spill(spark: SparkSession, formula: str, tables: dict[str, tuple[DataFrame,
     cols = [shown(c).alias(f"c{j + 1}") for j, c in enumerate(r.cols)]
     df = sheet.attach(r.df, *[c.v for c in r.cols], *[c.err for c in r.cols])
     return (df.orderBy(*sorting(r)) if r.order else df).select(*cols)
+
+
+#: Functions whose value changes though nothing that they read does.
+VOLATILE = {"RAND", "RANDBETWEEN", "RANDARRAY", "NOW", "TODAY", "OFFSET", "INDIRECT"}
+ARRAYS = {"FILTER", "SORT", "SORTBY", "UNIQUE", "TAKE", "DROP", "CHOOSECOLS", "CHOOSEROWS", "HSTACK", "VSTACK", "TOCOL", "TOROW", "TRANSPOSE", "SEQUENCE", "RANDARRAY", "GROUPBY", "PIVOTBY", "TEXTSPLIT", "FREQUENCY", "MODE.MULT", "LINEST", "LOGEST", "TREND", "GROWTH", "INDEX", "OFFSET", "INDIRECT"}
+LOOKUPS = {"VLOOKUP", "HLOOKUP", "XLOOKUP", "LOOKUP", "MATCH", "XMATCH", "INDEX"}
+
+
+def catalogue() -> dict[str, dict]:
+    """Every function: how it is planned, its numbers of arguments where they are fixed, and what is true of it."""
+    from .functions.registry import PYTHON
+
+    out = {}
+    for name in sorted(REGISTRY.keys() | RELATIONAL.keys() | {"LET", "LAMBDA"}):
+        f = REGISTRY.get(name)
+        out[name] = {
+            "least": f.least if f else None, "most": f.most if f and f.most < 255 else None, "pure": name not in VOLATILE, "volatile": name in VOLATILE, "elementwise": f is not None, "array": name in ARRAYS,
+            "lookup": name in LOOKUPS, "reduction": name in RELATIONAL and name not in ARRAYS | LOOKUPS, "plan": "relation" if name in RELATIONAL else "python" if name in PYTHON else "expression",
+        }
+    return out

@@ -84,3 +84,28 @@ def test_workbook_edits(spark):
     r = book.evaluate("x", iterations=60, tolerance=1e-9).first()
     assert abs(r.p - 40 / 3) < 1e-6 and abs(r.q - 20 / 3) < 1e-6
     assert book.evaluate("x", errors=True).first().p__error == "#CIRC!"
+
+
+def test_custom_aggregate_and_transaction(spark):
+    from pyspark.sql import functions as F
+
+    from gridlake.relations import catalogue
+
+    book = Workbook()
+    book.add_table("t", spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 5.0)], "id int, a double"))
+    book.register_aggregate("SPREAD", lambda c: F.max(c) - F.min(c))
+    book.set_formula("t", "s", "=SPREAD(t[a])+[a]")
+    with book.cancellable("g"):
+        assert [r.s for r in book.evaluate("t").orderBy("id").collect()] == [5.0, 8.0, 8.0]
+    with pytest.raises(KeyError), book.transaction():
+        book.set_formula("t", "x", "=[a]*2")
+        raise KeyError
+    assert "x" not in book.formulas["t"]
+    with book.transaction():
+        book.set_formula("t", "x", "=[a]*2")
+        book.set_formula("t", "y", "=[x]+1")
+    assert [r.y for r in book.evaluate("t").orderBy("id").collect()] == [5.0, 11.0, 11.0]
+    book.undo()
+    assert set(book.formulas["t"]) == {"s"}
+    known = catalogue()
+    assert len(known) > 400 and known["RAND"]["volatile"] and known["SUM"]["reduction"] and known["SIN"]["plan"] == "expression"
