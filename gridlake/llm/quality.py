@@ -8,7 +8,8 @@ projection without a shuffle or Python.
 Null text counts as empty. An empty text has all statistics 0 and is scored like any other. Rows
 with a null doc_id are scored and marked held out. Repeated rows give repeated results, an empty
 table an empty one. With no usable labels the score is 0.5, with one class only the smoothed share
-of label 1. Extra columns are ignored.
+of label 1. Extra columns are ignored. A doc_id teaches once for each of its labels, however often
+its rows repeat; if they hold several texts, the one with the least statistics does.
 """
 
 from __future__ import annotations
@@ -175,10 +176,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_RO
     chosen = (
         labels.select(F.col("doc_id"), F.col("quality").cast("double").alias("__y"))
         .where(F.col("doc_id").isNotNull() & F.col("__y").isin(0.0, 1.0) & ~held_out(F.col("doc_id")))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "__y")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__y", statistics(F.col("text")).alias("s"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "__y", statistics(F.col("text")).alias("s"))
+    rows = rows.groupBy("doc_id", "__y").agg(F.min("s").alias("s"))  # so no more rows than ``chosen`` has
     got = rows.select("__y", *[F.col("s")[f].alias(f) for f in FEATURES]).toPandas()
     got = got.sort_values(list(got.columns))  # the same model whatever order the rows arrive in
     return RuleModel.fit(got[list(FEATURES)].to_numpy(float), got["__y"].to_numpy(float))

@@ -13,7 +13,8 @@ letter runs and their 5-letter prefixes, hashed; whole texts are read.
 
 Null text counts as empty. Repeated rows give repeated results, an empty table an empty one.
 Without labels of both classes every probability is the smoothed share. Rows with a null doc_id are
-scored and marked held out. Extra columns are ignored.
+scored and marked held out. Extra columns are ignored. A doc_id teaches once for each of its labels,
+however often its rows repeat; if they hold several texts, the one with the least features does.
 """
 
 from __future__ import annotations
@@ -176,10 +177,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_R
     chosen = (
         labels.select("doc_id", F.col("toxic").cast("double").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out(F.col("doc_id")))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(max_rows)
     )
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_collect, "doc_id long, y double, f binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_collect, "doc_id long, y double, f binary")
+    got = rows.groupBy("doc_id", "y").agg(F.min("f").alias("f")).collect()  # so no more rows than ``chosen`` has
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.y, bytes(r.f)))
     return fit_chain([np.frombuffer(r.f, np.uint32) for r in got], np.array([r.y for r in got], float))
 
