@@ -320,8 +320,9 @@ def _exact_links(spark: SparkSession, scratch: Scratch, unmet: DataFrame, verifi
     sets = sets.join(of, "doc_id", "left").select("doc_id", "s", F.coalesce("component", "doc_id").alias("component"))
     sets = scratch.save(sets, "unmet")
     times = np.zeros(1 << COUNTERS, np.int64)
-    for r in sets.select("s").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        times[r.cell] = r.n
+    # at most a row for each cell, as two columns of numbers in one job
+    counted = sets.select("s").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    times[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     rare = scratch.save(sets.mapInArrow(_rarest(times, *threshold), "shingle long, id long, component long").distinct(), "rare")
     # under each shingle its largest component is cut into squares, and the other sets into others
     ids = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"ids{k}") for k in (0, 1)]
@@ -331,6 +332,7 @@ def _exact_links(spark: SparkSession, scratch: Scratch, unmet: DataFrame, verifi
     held = held.groupBy("most", "n", "ids0", "ids1").agg(F.min("shingle").alias("shingle"))
     squares = lambda n: F.ceil(n / SQUARE).cast("long")
     held = held.select("shingle", F.col("most.component").alias("main"), squares(F.col("most.n")).alias("mains"), squares(F.col("n") - F.col("most.n")).alias("rest"))
+    held = scratch.save(held, "held")  # read twice below
     at = rare.join(held, "shingle").withColumn("is_main", F.col("component") == F.col("main"))
     at = at.withColumn("square", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rest"))))
     at = at.withColumn("square", F.when(F.col("is_main"), F.col("rest") + F.col("square")).otherwise(F.col("square")))
@@ -402,11 +404,13 @@ def keep_first(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]
     Of rows with one doc_id and equal sets, one with the least text stays; rows of one doc_id whose
     sets differ all stay, and so do all rows with a null doc_id.
     """
-    dups = near_duplicates(spark, docs, threshold).where("not kept").select(F.col("doc_id").alias("__dup"))
-    kept = docs.join(dups, docs["doc_id"] == dups["__dup"], "left_anti")
-    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__many"))
-    once = kept.join(many, kept["doc_id"] == many["__many"], "left_anti")
-    again = kept.join(many, kept["doc_id"] == many["__many"], "left_semi")
+    scratch = Scratch(spark, "first")
+    # written out, so that neither join below holds the plan of the other or of the links
+    dups = scratch.save(near_duplicates(spark, docs, threshold).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")), "dups")
+    many = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    many = scratch.save(many.join(dups, "__id", "left_anti"), "many")
+    once = docs.join(dups.unionByName(many), F.col("doc_id") == F.col("__id"), "left_anti")
+    again = docs.join(many, F.col("doc_id") == F.col("__id"), "left_semi")
     row = F.struct(*docs.columns).alias("row")
     again = again.select(row, F.udf(_set_digest, "binary")("text").alias("digest")).groupBy("row.doc_id", "digest")
     again = again.agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
