@@ -279,5 +279,7 @@ def percentrank_between(s, d):
 @query("SELECT p_partkey, (SELECT arg_max(o_orderkey, o_totalprice) FROM orders WHERE o_totalprice <= p_retailprice * 100) AS below, (SELECT arg_min(o_orderkey, o_totalprice) FROM orders WHERE o_totalprice >= p_retailprice * 100) AS above FROM part")
 def lookup_many_bounds(s, d):
     keys = t(s, d, "part").withColumn("k", F.col("p_retailprice") * 100)
-    below = lk.lookup_asof(keys, "k", t(s, d, "orders"), "o_totalprice", "o_orderkey", "below")
-    return lk.lookup_next(below, "k", t(s, d, "orders"), "o_totalprice", "o_orderkey", "above").select("p_partkey", "below", "above")
+    # arg_max and arg_min pass over null results
+    orders = t(s, d, "orders").where("o_orderkey is not null")
+    below = lk.lookup_asof(keys, "k", orders, "o_totalprice", "o_orderkey", "below")
+    return lk.lookup_next(below, "k", orders, "o_totalprice", "o_orderkey", "above").select("p_partkey", "below", "above")

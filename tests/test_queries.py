@@ -51,5 +51,18 @@ def test_bases_of_large_keys(spark, tmp_path):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
 
 
+def test_bounds_of_orders_without_keys(spark, tmp_path):
+    """The nearest price may be that of an order whose key is null; the next one that has a key counts."""
+    con = duckdb.connect()
+    con.execute("create table part as select * from (values (1::BIGINT, 10::DOUBLE), (2, 20), (3, NULL), (4, 0), (NULL, 10)) v(p_partkey, p_retailprice)")
+    con.execute("create table orders as select * from (values (1::BIGINT, 900::DOUBLE), (NULL, 1000), (3, 1500), (NULL, 1900), (5, 2001), (6, NULL)) v(o_orderkey, o_totalprice)")
+    for t in ("part", "orders"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    got = entry.queries()["lookup_many_bounds"](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()["lookup_many_bounds"])
+    names = [c[0] for c in want.description]
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
